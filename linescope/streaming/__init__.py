@@ -1,0 +1,5 @@
+"""No streaming operator exists: an analysis is one batch over a file table.
+
+Decoding, selection, detection and classification are narrow projections, so
+they also accept a streaming DataFrame of files; nothing here adds state.
+"""
