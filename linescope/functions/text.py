@@ -101,3 +101,10 @@ def text_search(needle: str, *columns: Column) -> Column:
     """Case-insensitive substring over everything a table row shows."""
     shown = F.lower(F.concat_ws("\t", *columns))
     return F.contains(shown, F.lit(needle.lower()))
+
+
+def run_id(timestamp: Column, unique: Column) -> Column:
+    """Run id: minute of the run and a unique part without dashes."""
+    return F.concat_ws(
+        "-", F.date_format(timestamp, "yyyyMMdd-HHmm"), F.replace(unique, F.lit("-"), F.lit(""))
+    )

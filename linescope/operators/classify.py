@@ -31,6 +31,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linescope.functions.barrier import sealed
 from linescope.operators.languages import LANGUAGES, Lexicon, lookup
 
 # Marks: control characters that the input is cleared of first.
@@ -209,10 +210,14 @@ def _line_codes(flat: Column) -> Column:
 
 
 def classify(df: DataFrame, text: str = "text", language: str = "language") -> DataFrame:
-    """Add `line_codes` (one letter per physical line, see CATEGORIES),
-    `unclosed_block` and `unclosed_string`.  Narrow; null text gives nulls."""
+    """Replace the text by `line_codes` (one letter per physical line, see
+    CATEGORIES), `unclosed_block` and `unclosed_string`.
+
+    Narrow; null text gives nulls.  Filters on the result do not repeat the
+    classification.
+    """
     ruled, flat = "_ruled", "_flat"
-    return (
+    return sealed(
         df.withColumn(
             ruled,
             F.when(F.contains(F.col(text), F.lit("\r")), normalized_newlines(F.col(text))).otherwise(F.col(text)),
@@ -222,7 +227,7 @@ def classify(df: DataFrame, text: str = "text", language: str = "language") -> D
         .withColumn(ruled, F.when(F.col("_docs"), _plain_indent(F.col(ruled))).otherwise(F.col(ruled)))
         .withColumn(ruled, F.when(F.col("_docs"), _docstring_marked(F.col(ruled))).otherwise(F.col(ruled)))
         .withColumn(flat, _flattened(_token_marked(F.col(ruled), F.col(language))))
-        .drop(ruled, "_docs")
+        .drop(text, ruled, "_docs")
         .withColumns(
             {
                 "line_codes": _line_codes(F.col(flat)),

@@ -91,11 +91,15 @@ _EXTENSIONS = {ext: lang.name for lang in LANGUAGES for ext in lang.extensions.s
 _EXACT_NAMES = {file: lang for lang, files in FILE_NAMES.items() for file in files.split()}
 
 
+def sql_text(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def constant_map(entries: dict[str, str]) -> Column:
     """A map literal; Catalyst folds it to one constant."""
-    if not entries:
-        return F.expr("cast(map() as map<string,string>)")
-    return F.create_map(*[F.lit(part) for pair in entries.items() for part in pair])
+    parts = ", ".join(sql_text(part) for pair in entries.items() for part in pair)
+    return F.expr(f"map({parts})")
 
 
 def lookup(entries: dict, key: Column, value_type: str = "string") -> Column:
@@ -137,7 +141,8 @@ def from_json_name(name: Column) -> Column:
 
 def enum_order(language: Column) -> Column:
     """Position in the declared language order; the sort key of run totals."""
-    return F.array_position(F.array(*[F.lit(name) for name in NAMES]), language).cast("int") - 1
+    names = F.expr(f"array({', '.join(map(sql_text, NAMES))})")
+    return F.array_position(names, language).cast("int") - 1
 
 
 def language_dim(spark: SparkSession) -> DataFrame:

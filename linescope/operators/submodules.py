@@ -49,11 +49,12 @@ def section_lines(files: DataFrame, *keys: str, text: str = "text") -> DataFrame
 def tag_submodule(records: DataFrame, submodules: DataFrame, *keys: str) -> DataFrame:
     """Set `submodule` to the first submodule, in file order, holding the file.
 
-    `keys` name the repository a submodule belongs to.  The definitions of one
-    repository are gathered into one array (a .gitmodules file bounds it), so
-    each file meets at most one row and is neither multiplied nor grouped
-    again.  The join is left to Spark: broadcast when the definitions are
-    small, else a sort-merge join whose hot repositories are split at run time.
+    `keys` (at least one) name the repository or run a submodule belongs to.
+    The definitions of one repository are gathered into one array (a
+    .gitmodules file bounds it), so each file meets at most one row and is
+    neither multiplied nor grouped again.  The join is left to Spark:
+    broadcast when the definitions are small, else a sort-merge join whose hot
+    repositories are split at run time.
     """
     entry = F.struct("ord", "name", F.replace("path", F.lit("\\"), F.lit("/")).alias("path"))
     lists = submodules.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_submodules"))
@@ -62,9 +63,8 @@ def tag_submodule(records: DataFrame, submodules: DataFrame, *keys: str) -> Data
         "_submodules",
         lambda s: (rel == s["path"]) | F.startswith(rel, F.concat(s["path"], F.lit("/"))),
     )
-    tagged = (
+    return (
         records.join(lists, list(keys), "left")
-        if keys
-        else records.join(F.broadcast(lists), F.lit(True), "left")
+        .withColumn("submodule", F.try_element_at(holders, F.lit(1))["name"])
+        .drop("_submodules")
     )
-    return tagged.withColumn("submodule", F.try_element_at(holders, F.lit(1))["name"]).drop("_submodules")

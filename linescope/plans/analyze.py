@@ -25,7 +25,7 @@ def analyze_files(files: DataFrame, settings: Settings | None = None, run_id: st
     if settings.discovery.ignore_hidden_files:
         files = visible(files)
     selected = content_rules(path_rules(files, settings), settings)
-    classified = classify(selected).withColumn("raw", raw_counts(F.col("line_codes")))
+    classified = classify(selected.drop("content")).withColumn("raw", raw_counts(F.col("line_codes")))
     open_ = F.col("rule").isNull()
     block, string = F.col("unclosed_block"), F.col("unclosed_string")
     best_effort = block | string

@@ -14,6 +14,17 @@ from linescope.schemas import FILES
 _COLUMNS = [field.split()[0] for field in FILES.split(", ")]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Give every core work when the input has fewer splits than cores.
+
+    Classification is bound by CPU, and one small file would be one task.  An
+    input with more splits than cores is left alone, so nothing is shuffled at
+    scale.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def from_table(corpus: DataFrame, root: str | Column) -> DataFrame:
     """Files of a corpus table (path, content and, when stored, size_bytes and
     is_symlink) below a root."""

@@ -10,9 +10,12 @@ from linescope.operators.languages import enum_order, from_json_name
 from linescope.schemas import RUN_JSON, RUNS
 
 
-def read_run_json(spark: SparkSession, path: str) -> DataFrame:
-    """Saved runs, one row each; fields older files lack are null."""
-    return spark.read.schema(RUN_JSON).json(path, multiLine=True)
+def read_run_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Saved runs, one row each; fields older files lack are null.
+
+    A file is one indented document, or one document per line.
+    """
+    return spark.read.schema(RUN_JSON).json(path, multiLine=multi_line)
 
 
 def run_files(runs: DataFrame) -> DataFrame:
