@@ -13,6 +13,7 @@ from linescope.catalog import oracles as O
 from linescope.catalog import views as V
 from linescope.functions import paths as P
 from linescope.functions import text as T
+from linescope.functions.barrier import sealed
 from linescope.operators import classify as K
 from linescope.operators import decode, delta, detect, history, languages, preview, rollup, submodules
 from linescope.operators import ignore as ignored
@@ -54,7 +55,8 @@ def records(spark: SparkSession, sf: str, settings: Settings | None = None) -> D
 def corpus_text(spark: SparkSession, sf: str) -> DataFrame:
     """Corpus texts with their detected language, without selection."""
     language = detect.detect_language(F.col("path"), K.first_line(F.col("text")))
-    return V.corpus(spark, sf).withColumn("language", language).where(F.col("language").isNotNull())
+    texts = V.corpus(spark, sf).select("path", "text", language.alias("language"))
+    return sealed(texts).where(F.col("language").isNotNull())
 
 
 TEXTS = f"select path as id, detected as language, text from ({O.corpus()}) c where detected is not null"
@@ -419,11 +421,13 @@ def detect_language(spark, sf):
     return V.corpus(spark, sf).select("path", language.alias("language"))
 
 
+_NO_SHEBANG = O.detected(text="''")
+
+
 @query(
     "detect_overrides",
     f"select path, case when path like '%.md' then 'HTML' when path like '%.py' then 'C#' "
-    f"when detected in ('Shell', 'Python') and not regexp_matches(path, '/[^/]+\\.[^./]+$') then null "
-    f"else detected end as language from ({O.corpus()}) c",
+    f"else {_NO_SHEBANG} end as language from ({V.CORPUS}) c",
 )
 def detect_overrides(spark, sf):
     overrides = Settings().updated(
@@ -1411,7 +1415,8 @@ def paginate(spark, sf):
     "enrich_languages",
     O.with_records(
         """, t as (select source, language, count(*) as files, sum(code_lines) as code from records where rule is null group by all)
-select source as run_id, string_agg(language || ':' || files || ':' || code, ',' order by language) as languages from t group by 1"""
+select run_id, string_agg(shown, ',' order by shown) as languages
+from (select source as run_id, language || ':' || files || ':' || code as shown from t) s group by 1"""
     ),
 )
 def enrich_languages(spark, sf):

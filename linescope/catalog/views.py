@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linescope.functions.barrier import sealed
 from linescope.session import configure
 from linescope.sources.files import from_table, spread
 
@@ -144,7 +145,9 @@ def content(text: Column, kind: Column) -> Column:
 
 def corpus_files(rows: DataFrame) -> DataFrame:
     """Corpus rows as a file table."""
-    return from_table(rows.select("path", content(F.col("text"), F.col("kind")).alias("content")), "/repo")
+    return from_table(
+        sealed(rows.select("path", content(F.col("text"), F.col("kind")).alias("content"))), "/repo"
+    )
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

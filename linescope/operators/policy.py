@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linescope.functions.barrier import sealed
 from linescope.functions.paths import file_name, glob_match, has_component, is_below, is_hidden
 from linescope.operators import decode
 from linescope.operators.classify import BLANKS, first_line
@@ -128,8 +129,8 @@ def _stop(rule: str, behavior: str, message: str) -> Column:
 
 
 def content_rules(files: DataFrame, settings: Settings) -> DataFrame:
-    """Complete `rule` from the content and add `encoding`, `text`,
-    `decode_warnings` and `language` of the files that remain."""
+    """Complete `rule` from the content, and replace the content by `encoding`,
+    `text`, `decode_warnings` and `language` of the files that remain."""
     analysis, path, content = settings.analysis, F.col("path"), F.col("content")
     open_ = F.col("rule").isNull()
     by_bytes = (
@@ -156,9 +157,10 @@ def content_rules(files: DataFrame, settings: Settings) -> DataFrame:
     by_language = F.when(F.col("language").isNull(), "unsupported")
     if enabled:
         by_language = by_language.when(~F.col("language").isin(enabled), "disabled_language")
-    return known.withColumn("rule", F.when(open_, by_language).otherwise(F.col("rule"))).withColumn(
+    decided = known.withColumn("rule", F.when(open_, by_language).otherwise(F.col("rule"))).withColumn(
         "text", F.when(open_, F.col("text"))
     )
+    return sealed(decided.drop("content"))
 
 
 def rule_status(rule: Column) -> Column:
