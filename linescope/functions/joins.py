@@ -1,0 +1,20 @@
+"""Join sides of a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def is_small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """True when a frame of short rows has at most `limit` of them; reads no
+    more than that."""
+    return rows.limit(limit + 1).count() <= limit
+
+
+def broadcast_if(small: bool, rows: DataFrame) -> DataFrame:
+    """Broadcast a side known to be small; leave any other to Spark, which
+    picks a sort-merge join and splits hot keys at run time."""
+    return F.broadcast(rows) if small else rows

@@ -1,9 +1,10 @@
 """Run history: registration, artifacts, previous runs and lookups.
 
 Operators that look along the time line of one project do not put a project
-into a single window partition.  They cut its time line into slices, work
-inside the slices, and carry the little that crosses a slice border through a
-table with one row per project and slice.
+into a single window partition.  The history is cut into ranges of project and
+time of about equal size, work is done inside the ranges, and the little that
+crosses a border is carried through a table with one row per project and
+range.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from linescope.functions.paths import parent
 from linescope.functions.text import change_text, delta_sign, fixed_offset_time, short_run_id
+from linescope.session import checkpoint_dir
 
 TOTALS = [
     "files_analyzed", "files_skipped", "total_physical_lines", "code_lines", "comment_lines", "blank_lines",
@@ -39,9 +41,14 @@ def runs_newest_first(runs: DataFrame) -> DataFrame:
 
 
 def _flagged(runs: DataFrame, artifacts: DataFrame, column: str, flag: str) -> DataFrame:
-    """Left join on the listed artifact paths; `flag` tells whether it exists."""
-    listed = artifacts.select(F.col("path").alias(column)).distinct().withColumn(flag, F.lit(True))
-    return runs.join(listed, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    """Left join on the listed artifact paths; `flag` tells whether it exists.
+
+    Missing paths get a key of their own each, so they do not meet in one
+    partition.
+    """
+    listed = artifacts.select(F.col("path").alias("_key")).distinct().withColumn(flag, F.lit(True))
+    keyed = runs.withColumn("_key", F.coalesce(column, F.concat(F.lit("\0"), "run_id")))
+    return keyed.join(listed, "_key", "left").drop("_key").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def prune_stale(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -55,27 +62,34 @@ def with_json(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     return runs.join(artifacts.select(F.col("path").alias("json_path")).distinct(), "json_path", "left_semi")
 
 
-def along_time(
-    runs: DataFrame, keys: Sequence[str], carry: Sequence[str], slice_by: str = "hour"
-) -> DataFrame:
-    """Add `scan_number` (rank by time within the keys) and `previous` (the
-    carried columns of the run before).
+def along_time(runs: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Run id, keys and carried columns with `scan_number` (rank by time within
+    the keys) and `previous` (the carried columns of the run before).
 
-    Windows run inside (keys, slice).  Counts and last rows per slice are
-    aggregates, and the window over them has one row per slice.
+    Rows are range-partitioned by keys, time and id.  The id is unique, so
+    even one project with one time is spread evenly.  A checkpoint fixes that
+    layout; windows then run inside (keys, range), and only one row per key
+    and range is windowed across ranges.
     """
+    checkpoint_dir(runs.sparkSession)
     order = ["timestamp_utc", "run_id"]
-    sliced = runs.withColumn("_slice", F.date_trunc(slice_by, "timestamp_utc"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    local = sliced.withColumns(
+    columns = list(dict.fromkeys([*keys, *order, *carry]))
+    ranges = (
+        runs.select(*columns)
+        .repartitionByRange(*keys, *order)
+        .withColumn("_range", F.spark_partition_id())
+        .checkpoint()
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    local = ranges.withColumns(
         {
             "_rank": F.row_number().over(inside),
             "_before": F.lag(F.struct(*carry)).over(inside),
         }
     )
-    across = Window.partitionBy(*keys).orderBy("_slice")
+    across = Window.partitionBy(*keys).orderBy("_range")
     borders = (
-        sliced.groupBy(*keys, "_slice")
+        ranges.groupBy(*keys, "_range")
         .agg(F.count("*").alias("_runs"), F.max_by(F.struct(*carry), F.struct(*order)).alias("_last"))
         .withColumns(
             {
@@ -85,10 +99,10 @@ def along_time(
                 "_carried": F.lag("_last").over(across),
             }
         )
-        .select(*keys, "_slice", "_offset", "_carried")
+        .select(*keys, "_range", "_offset", "_carried")
     )
-    return local.join(borders, [*keys, "_slice"]).select(
-        *runs.columns,
+    return local.join(borders, [*keys, "_range"]).select(
+        *columns,
         (F.col("_offset") + F.col("_rank")).alias("scan_number"),
         F.coalesce("_before", "_carried").alias("previous"),
     )
