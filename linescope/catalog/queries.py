@@ -1103,12 +1103,12 @@ def two_runs(spark, sf):
     Both are saved first, as runs are, and compared from the saved table, so
     each file is classified once.
     """
-    base = V.corpus(spark, sf).where(F.col("source") != "src3")
-    cur = V.corpus(spark, sf).where(F.col("source") != "src7").withColumn("text", F.expr(_LONGER))
+    corpus = V.corpus(spark, sf)
+    base = corpus.where(F.col("source") != "src3").withColumn("run", F.lit("base"))
+    cur = corpus.where(F.col("source") != "src7").withColumns({"run": F.lit("cur"), "text": F.expr(_LONGER)})
     path = scratch(spark, "runs")
-    analyze_files(V.corpus_files(base), run_id="base").unionByName(
-        analyze_files(V.corpus_files(cur), run_id="cur")
-    ).write.partitionBy("run_id").parquet(path)
+    files = V.corpus_files(base.unionByName(cur), "run")
+    analyze_files(files, run_id=F.col("run")).write.partitionBy("run_id").parquet(path)
     saved = rollup.analyzed(spark.read.parquet(path))
     return saved.where(F.col("run_id") == "base"), saved.where(F.col("run_id") == "cur")
 

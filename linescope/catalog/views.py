@@ -143,11 +143,10 @@ def content(text: Column, kind: Column) -> Column:
     )
 
 
-def corpus_files(rows: DataFrame) -> DataFrame:
+def corpus_files(rows: DataFrame, *keep: str) -> DataFrame:
     """Corpus rows as a file table."""
-    return from_table(
-        sealed(rows.select("path", content(F.col("text"), F.col("kind")).alias("content"))), "/repo"
-    )
+    stored = sealed(rows.select("path", content(F.col("text"), F.col("kind")).alias("content"), *keep))
+    return from_table(stored, "/repo", *keep)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linescope.operators.classify import classify, parse_mode, parse_warnings, raw_counts
 from linescope.operators.counts import effective_counts
+from linescope.operators.ignore import apply_ignore_rules, parse_ignore_files
 from linescope.operators.policy import (
     content_rules,
     is_vendor,
@@ -18,19 +19,32 @@ from linescope.operators.policy import (
 from linescope.settings import Settings
 
 
-def analyze_files(files: DataFrame, settings: Settings | None = None, run_id: str = "") -> DataFrame:
-    """File records of a file table: one narrow stage, no shuffle."""
+def analyze_files(
+    files: DataFrame,
+    settings: Settings | None = None,
+    run_id: str | Column = "",
+    ignore_files: DataFrame | None = None,
+) -> DataFrame:
+    """File records of a file table: one narrow stage, no shuffle.
+
+    `run_id` is a value, or a column of the file table when it holds several
+    runs.  `ignore_files` (dir, text) are the ignore files of the root; they
+    are a separate small table, so honoring them does not read the contents of
+    all files a second time.
+    """
     settings = settings or Settings()
     analysis = settings.analysis
     if settings.discovery.ignore_hidden_files:
         files = visible(files)
+    if settings.discovery.honor_ignore_files and ignore_files is not None:
+        files = apply_ignore_rules(files, parse_ignore_files(ignore_files))
     selected = content_rules(path_rules(files, settings), settings)
     classified = classify(selected).withColumn("raw", raw_counts(F.col("line_codes")))
     open_ = F.col("rule").isNull()
     block, string = F.col("unclosed_block"), F.col("unclosed_string")
     best_effort = block | string
     return classified.select(
-        F.lit(run_id).alias("run_id"),
+        (F.lit(run_id) if isinstance(run_id, str) else run_id).alias("run_id"),
         "path",
         "relative_path",
         F.when(open_, F.col("language")).alias("language"),

@@ -25,9 +25,9 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def from_table(corpus: DataFrame, root: str | Column) -> DataFrame:
+def from_table(corpus: DataFrame, root: str | Column, *keep: str) -> DataFrame:
     """Files of a corpus table (path, content and, when stored, size_bytes and
-    is_symlink) below a root."""
+    is_symlink) below a root; `keep` names columns to carry along."""
     root = F.lit(root) if isinstance(root, str) else root
     have = set(corpus.columns)
     return corpus.select(
@@ -37,6 +37,7 @@ def from_table(corpus: DataFrame, root: str | Column) -> DataFrame:
         (F.col("size_bytes") if "size_bytes" in have else F.octet_length("content")).cast("bigint").alias("size_bytes"),
         (F.col("is_symlink") if "is_symlink" in have else F.lit(False)).alias("is_symlink"),
         F.col("content").cast("binary").alias("content"),
+        *keep,
     )
 
 

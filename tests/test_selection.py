@@ -205,3 +205,12 @@ def test_overlapping_roots(spark):
     assert {(r.root, r.path) for r in dedupe_paths(both, roots).collect()} == {("/r", "/r/.s/a.c"), ("/r", "/r/b.c")}
     hidden = dedupe_paths(both, roots, ignore_hidden_files=True)
     assert {(r.root, r.path) for r in hidden.collect()} == {("/r/.s", "/r/.s/a.c"), ("/r", "/r/b.c")}
+
+
+def test_analysis_honors_ignore_files(spark):
+    table = files(spark, [("/w/.gitignore", b"*.c\n"), ("/w/a.c", b"x"), ("/w/b.py", b"x")])
+    texts = ignore.ignore_texts(table)
+    assert [r.relative_path for r in analyze_files(table, ignore_files=texts).collect()] == ["b.py"]
+    off = Settings().updated(discovery={"honor_ignore_files": False, "ignore_hidden_files": False})
+    got = {r.relative_path: r.warnings for r in analyze_files(table, off, ignore_files=texts).collect()}
+    assert set(got) == {".gitignore", "a.c", "b.py"} and got[".gitignore"] == [".gitignore is always excluded"]
