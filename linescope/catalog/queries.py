@@ -1452,7 +1452,7 @@ def enrich_languages(spark, sf):
 def write_run_csv(spark, sf):
     path = scratch(spark, "csv")
     rows = records(spark, sf)
-    sinks._csv(sinks.file_table(rows), f"{path}/per_file")
+    sinks.write_table(sinks.file_table(rows), f"{path}/per_file")
     back = spark.read.csv(f"{path}/per_file", header=True, lineSep="\r\n", escape='"')
     return back.select(
         "Path", "Language", F.col("Size (bytes)").alias("Size"), F.col("Code Lines").alias("Code"),
@@ -1481,7 +1481,7 @@ def write_skipped_table(spark, sf):
 )
 def write_diff_csv(spark, sf):
     path = scratch(spark, "diff")
-    sinks._csv(sinks.diff_file_table(deltas(spark, sf)), path)
+    sinks.write_table(sinks.diff_file_table(deltas(spark, sf)), path)
     back = spark.read.csv(path, header=True, lineSep="\r\n", escape='"')
     return back.toDF(*[name.lower().replace(" ", "_") for name in back.columns]).select(
         "status", "path", "language", F.col("code_δ").alias("code"), F.col("total_δ").alias("total")
@@ -1522,7 +1522,7 @@ def read_run_json(spark, sf):
     path = scratch(spark, "saved")
     rows = records(spark, sf)
     document = F.struct(F.col("path").alias("run_id"))
-    files = F.array(sinks._file_json())
+    files = F.array(sinks.file_json())
     none = F.filter(files, lambda f: F.lit(False))
     rows.select(
         document.alias("tool"),

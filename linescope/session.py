@@ -40,5 +40,7 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # Stack traces per column call cost more than building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )

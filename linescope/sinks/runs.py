@@ -21,7 +21,8 @@ def run_id(now: datetime | None = None) -> str:
     return f"{now:%Y%m%d-%H%M}-{uuid.uuid4().hex}"
 
 
-def _csv(rows: DataFrame, path: str) -> None:
+def write_table(rows: DataFrame, path: str) -> None:
+    """One CSV table with a header, CRLF line ends and doubled quotes."""
     rows.write.mode("overwrite").csv(path, header=True, lineSep="\r\n", quote='"', escape='"', emptyValue="")
 
 
@@ -87,13 +88,13 @@ def skipped_table(records: DataFrame) -> DataFrame:
 
 def write_run_csv(records: DataFrame, path: str, run: str, timestamp: datetime, title: str) -> None:
     """The three sections of the run export as three CSV tables."""
-    _csv(summary_table(records, run, timestamp, title), f"{path}/summary")
-    _csv(language_table(records), f"{path}/by_language")
-    _csv(file_table(records), f"{path}/per_file")
+    write_table(summary_table(records, run, timestamp, title), f"{path}/summary")
+    write_table(language_table(records), f"{path}/by_language")
+    write_table(file_table(records), f"{path}/per_file")
 
 
 def write_skipped_table(records: DataFrame, path: str) -> None:
-    _csv(skipped_table(records), path)
+    write_table(skipped_table(records), path)
 
 
 def diff_summary_table(summary: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -131,8 +132,8 @@ def diff_file_table(deltas: DataFrame) -> DataFrame:
 
 
 def write_diff_csv(summary: DataFrame, deltas: DataFrame, path: str) -> None:
-    _csv(diff_summary_table(summary, deltas), f"{path}/summary")
-    _csv(diff_file_table(deltas), f"{path}/file_deltas")
+    write_table(diff_summary_table(summary, deltas), f"{path}/summary")
+    write_table(diff_file_table(deltas), f"{path}/file_deltas")
 
 
 def write_diff_json(summary: DataFrame, deltas: DataFrame, path: str) -> None:
@@ -151,7 +152,7 @@ def write_run_tables(records: DataFrame, path: str) -> None:
     run_totals(records, "run_id").write.mode("append").parquet(f"{path}/run_totals")
 
 
-def _file_json() -> Column:
+def file_json() -> Column:
     return F.struct(
         "path",
         "relative_path",
@@ -177,7 +178,7 @@ def write_run_json(records: DataFrame, path: str) -> None:
     The files of a run are unbounded, so they are never nested into one
     document.
     """
-    records.select("run_id", _file_json().alias("file")).select("run_id", "file.*").write.mode("overwrite").json(
+    records.select("run_id", file_json().alias("file")).select("run_id", "file.*").write.mode("overwrite").json(
         f"{path}/files"
     )
     run_totals(records, "run_id").write.mode("overwrite").json(f"{path}/summary_totals")

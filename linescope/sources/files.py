@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linescope.functions.paths import file_name, is_below, is_hidden, relative_path
-from linescope.schemas import FILES
 
-_COLUMNS = [field.split()[0] for field in FILES.split(", ")]
+_READ_BYTES = 32 * 1024 * 1024
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -19,7 +18,7 @@ def spread(rows: DataFrame) -> DataFrame:
 
     Classification is bound by CPU, and one small file would be one task.  An
     input with more splits than cores is left alone, so nothing is shuffled at
-    scale.
+    scale.  Meant for plain scans, whose splits are known without running them.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
@@ -89,8 +88,9 @@ def _read_bytes(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
             return None
 
     for batch in batches:
-        for start in range(0, len(batch), 64):
-            part = batch.iloc[start:start + 64]
+        # Output batches of about equal bytes, whatever the file sizes.
+        step = batch["size_bytes"].cumsum() // _READ_BYTES
+        for _, part in batch.groupby(step):
             yield part.assign(content=[content(path) for path in part["path"]])
 
 

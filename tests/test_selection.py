@@ -214,3 +214,13 @@ def test_analysis_honors_ignore_files(spark):
     off = Settings().updated(discovery={"honor_ignore_files": False, "ignore_hidden_files": False})
     got = {r.relative_path: r.warnings for r in analyze_files(table, off, ignore_files=texts).collect()}
     assert set(got) == {".gitignore", "a.c", "b.py"} and got[".gitignore"] == [".gitignore is always excluded"]
+
+
+def test_analysis_of_a_stream_equals_the_batch(spark, tmp_path):
+    table = files(spark, [(f"/w/f{n}.py", b"x = 1 # y\n" * n) for n in range(1, 9)])
+    table.write.parquet(str(tmp_path / "corpus"))
+    batch = analyze_files(spark.read.parquet(str(tmp_path / "corpus")))
+    stream = analyze_files(spark.readStream.schema(table.schema).parquet(str(tmp_path / "corpus")))
+    done = stream.writeStream.format("memory").queryName("analyzed").trigger(availableNow=True).start()
+    done.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("analyzed").collect())) == sorted(map(tuple, batch.collect()))
