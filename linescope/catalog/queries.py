@@ -848,7 +848,7 @@ def all_records(spark, sf):
 
 @query("sort_files", O.with_records("select relative_path, language, status from records"))
 def sort_files(spark, sf):
-    return records(spark, sf).orderBy("relative_path").select("relative_path", "language", "status")
+    return records(spark, sf).orderBy("relative_path", "path").select("relative_path", "language", "status")
 
 
 _TAGGED = f"""
@@ -954,7 +954,7 @@ def warned(spark, sf):
 
 @query("run_warnings", O.with_records(f"{_WARNINGS} select relative_path, warning from warned"))
 def run_warnings(spark, sf):
-    return warned(spark, sf)
+    return warned(spark, sf).select("relative_path", "warning")
 
 
 _BUCKET = "case " + " ".join(

@@ -56,9 +56,13 @@ REVIEW = (
 
 
 def run_warnings(records: DataFrame, *keys: str) -> DataFrame:
-    """One row per warning, with the path in front."""
-    return records.select(*keys, "relative_path", F.explode("warnings").alias("_w")).select(
-        *keys, "relative_path", F.concat_ws(": ", "relative_path", "_w").alias("warning")
+    """One row per warning, with the path in front of its text.
+
+    The full path comes along: it tells apart files of several roots that
+    share a relative path, so sorted warnings never pile up on one key.
+    """
+    return records.select(*keys, "path", "relative_path", F.explode("warnings").alias("_w")).select(
+        *keys, "path", "relative_path", F.concat_ws(": ", "relative_path", "_w").alias("warning")
     )
 
 
@@ -119,8 +123,9 @@ def support_opportunities(warnings: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """Number all rows from 1 in a total order without gathering them.
 
-    Rows are range-partitioned and sorted; a checkpoint fixes that layout, so
-    the per-partition counts and the rows come from the same partitions even
+    The order should be unique, so that ranges can be cut anywhere.  Rows are
+    range-partitioned and sorted; a checkpoint fixes that layout, so the
+    per-partition counts and the rows come from the same partitions even
     when executors are lost.  Only one count per partition is windowed.
     """
     checkpoint_dir(rows.sparkSession)
@@ -146,7 +151,8 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 def number_console(warnings: DataFrame) -> DataFrame:
     """Console lines `[001] warning`, one row per line."""
-    return numbered(warnings.select("relative_path", "warning"), "relative_path", "warning").select(
+    order = ("relative_path", "warning", "path")
+    return numbered(warnings.select(*order), *order).select(
         "number",
         F.concat(
             F.lit("["),
@@ -159,8 +165,9 @@ def number_console(warnings: DataFrame) -> DataFrame:
 
 def warning_preview(warnings: DataFrame, limit: int = 12) -> DataFrame:
     """The first warnings, numbered, with the total and whether more exist."""
-    shown = warnings.orderBy("relative_path", "warning").limit(limit)
-    number = F.row_number().over(Window.orderBy("relative_path", "warning"))
+    order = ("relative_path", "warning", "path")
+    shown = warnings.orderBy(*order).limit(limit)
+    number = F.row_number().over(Window.orderBy(*order))
     total = warnings.agg(F.count("*").alias("total"))
     return (
         shown.select(number.alias("number"), "warning")

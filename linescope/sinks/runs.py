@@ -65,7 +65,7 @@ def language_table(records: DataFrame) -> DataFrame:
 
 
 def file_table(records: DataFrame) -> DataFrame:
-    return analyzed(records).orderBy("relative_path").select(
+    return analyzed(records).orderBy("relative_path", "path").select(
         F.col("relative_path").alias("Path"),
         F.coalesce("language", F.lit("")).alias("Language"),
         F.col("size_bytes").alias("Size (bytes)"),
@@ -81,7 +81,7 @@ def file_table(records: DataFrame) -> DataFrame:
 
 def skipped_table(records: DataFrame) -> DataFrame:
     shown = F.replace(F.initcap(F.replace(F.col("status"), F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
-    return skipped(records).orderBy("relative_path").select(
+    return skipped(records).orderBy("relative_path", "path").select(
         F.col("relative_path").alias("Path"), shown.alias("Status"), F.col("size_bytes").alias("Size (bytes)")
     )
 
