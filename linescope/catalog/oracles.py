@@ -197,6 +197,17 @@ from (select doc_id, source, lang, kind, path, replace(path, '/repo/', '') as re
   from (select * replace ({text} as text) from ({views.CORPUS}) c0) c {where}) c1"""
 
 
+def _in_head(marker: str) -> str:
+    """The marker ends within the first 1024 bytes of the file (its letters
+    are two bytes each in UTF-16, so it is not seen there)."""
+    position = f"strpos(lower(text), {quoted(marker)})"
+    start = "case kind when 'nul' then 1 when 'bom' then 3 when 'badbom' then 3 else 0 end"
+    return (
+        f"(kind <> 'utf16' and {position} > 0 and "
+        f"strlen(left(text, {position} + {len(marker) - 1})) + {start} <= 1024)"
+    )
+
+
 def ruled(source: str, max_size: int = 2097152, exclude: str = "false", hidden: bool = True, enabled: str = "true") -> str:
     """Corpus rows with the rule that stops them (null when analysed)."""
     part = "list_has_any(string_split(path, '/'), [{}])"
@@ -210,7 +221,7 @@ select *, case when {name} = '.gitignore' then 'gitignore_file'
   when {name} in ({_list(LOCKFILES)}) then 'lockfile'
   when {part.format(_list(['vendor', 'node_modules', 'packages']))} then 'vendor'
   when contains({name}, '.generated.') or contains({name}, '.g.')
-    or regexp_matches(lower(left(text, 1024)), '@generated|generated by') then 'generated'
+    or {_in_head('@generated')} or {_in_head('generated by')} then 'generated'
   when contains({name}, '.min.') then 'minified'
   when kind = 'nul' then 'binary'
   when kind = 'badbom' then 'decode_error'
