@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import rows_of
+from linescope.catalog.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -23,13 +24,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    result = entry.queries()[name](spark, FOLDER)
-    cursor = duck.execute(entry.oracle_sql()[name])
+    result = QUERIES[name](spark, FOLDER)
+    cursor = duck.execute(ORACLES[name])
     want = rows_of([d[0] for d in cursor.description], cursor.fetchall())
     assert rows_of(result.columns, [tuple(row) for row in result.collect()]) == want
 
