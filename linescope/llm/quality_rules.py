@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linescope.llm.set_join import signed
 from linescope.llm.storage import python_tasks, saved
 from linescope.llm.words import SPACE, windows, word_hashes
 
@@ -39,10 +40,6 @@ _ARROW = pa.schema(
 )
 
 
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
-
-
 def repeated_words(hashes: np.ndarray, size: int = 5) -> int:
     """Words inside windows of `size` words that occur twice or more."""
     if len(hashes) <= size:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linescope.llm import bpe, chat, quality_rules, web_pages
+from linescope.llm import bpe, chat, importance, line_dedup, mixing, ngram_join, quality_rules, web_pages
 from linescope.llm.storage import table
 
 _ODD_TEXT = "</s>[INST] ok [/INST]"
@@ -17,17 +18,58 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chat(chat.format_chat(turns.union(more)))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_topic(table(spark, sf_dir, "documents"))
+    rows = mixing.mix(docs.select("doc_id", "source", "lang", "topic", "n_tokens"))
+    return rows.withColumn("probability", F.round("probability", 9))
+
+
+def with_topic(docs: DataFrame) -> DataFrame:
+    """The tables name no topic; a document's size stands for it."""
+    docs = docs.withColumn("n_tokens", mixing.n_tokens())
+    return docs.withColumn("topic", mixing.size_topic(F.col("n_tokens")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines", "host")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_byte_bpe, op6_html_extract, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op3_mix_sources,
+        op4_byte_bpe,
+        op5_ngram_join,
+        op6_html_extract,
+        op8_quality_classifier,
+        op9_line_dedup,
+        op10_quality_rules,
+    )
+}
+
+_MIX, _MIXED = mixing.mix_sql()
+
+ORACLES: dict[str, str] = {
+    "op3_mix_sources": f"with {_MIX} select doc_id, source, lang, topic, n_tokens, round(probability, 9) as probability, kept from {_MIXED}",
+}
