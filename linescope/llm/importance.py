@@ -5,9 +5,9 @@ to a fixed number of slots.  Two multinomial models are counted: the target's
 (labelled good texts) and the raw corpus's (every document); the target's is
 shrunk to the raw one, so a slot without evidence weighs nothing.  A document's log weight is the sum of log target / raw over
 its slots, divided by the square root of their number, so that long texts do
-not drown the noise and short ones are not drowned by it.  Gumbel noise is
-added, and the k largest are kept: a sample of k documents without repetition,
-drawn by weight.
+not drown the noise and short ones are not drowned by it, and multiplied by
+`SHARPNESS`.  Gumbel noise is added, and the k largest are kept: a sample of k
+documents without repetition, drawn by weight.
 
 k is the number of documents whose weight passes a cut.  The cut is the one
 that tells good and bad labels apart best, on labelled rows that the target's
@@ -44,24 +44,27 @@ from linescope.llm.words import blocks, mixed
 
 SLOTS = 1 << 15
 MAX_LABELS = 20_000
+SHARPNESS = 4.0
 
 
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\x00-\x200-9A-Za-z_\x80-\xff]+")
 
 
 def slots_of(text: str | None) -> np.ndarray:
-    """Slots of the tokens and token pairs of a text."""
+    """Slots of the tokens and token pairs of a text; all pairs of equal tokens
+    share a slot."""
     parts = []
     for piece in blocks((text or "").encode("utf-8", "surrogatepass")):
         found = _TOKEN.findall(piece)
         parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
     hashes = np.concatenate(parts)
     pairs = mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    pairs[hashes[:-1] == hashes[1:]] = 0
     return (np.concatenate([hashes, pairs]) >> np.uint64(64 - 15)).astype(np.int32)
 
 
 def log_weight(slots: np.ndarray, ratio: np.ndarray) -> float | None:
-    return float(ratio[slots].sum() / np.sqrt(len(slots))) if len(slots) else None
+    return float(SHARPNESS * ratio[slots].sum() / np.sqrt(len(slots))) if len(slots) else None
 
 
 def _count(batches: Iterator[pa.RecordBatch], good) -> Iterator[pa.RecordBatch]:
