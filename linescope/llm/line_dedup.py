@@ -94,13 +94,7 @@ def earlier_matches(nodes: DataFrame, first: DataFrame, percent: int) -> DataFra
 
 def _thinned(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs that pass the length and position filters."""
-    return (
-        pairs.filter(lengths_fit(percent))
-        .groupBy("a", "n_a", "b", "n_b")
-        .agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
-        .filter(places_fit(percent))
-        .select("a", "n_a", "b", "n_b")
-    )
+    return pairs.filter(lengths_fit(percent) & places_fit(percent)).select("a", "n_a", "b", "n_b").distinct()
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

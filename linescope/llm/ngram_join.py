@@ -92,7 +92,9 @@ def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     segments = fragments_of(nodes, fragments)
     postings = saved(prefixes(nodes, percent))
     by_gram = postings.select("node", "n", "gram")
-    hubs = by_gram.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node").alias("mark"), "node", "n")).alias("hub"))
+    # The likeliest centre of a group has the fewest n-grams of its own.
+    own = F.floor(64 * F.col("unshared") / F.col("n")).alias("own")
+    hubs = postings.groupBy("gram").agg(F.min(F.struct(own, F.xxhash64("node").alias("mark"), "node", "n")).alias("hub"))
     votes = (
         by_gram.join(hubs, "gram")
         .filter(F.col("node") != F.col("hub.node"))
@@ -104,7 +106,7 @@ def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     found = saved(verified(star, segments, percent))
     groups = saved(components(found))
 
-    grouped = postings.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = postings.drop("unshared").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = grouped.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
     rest = saved(grouped.join(mixed, "gram"))
     one = rest.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "root")))
@@ -112,11 +114,9 @@ def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     pairs = (
         one.join(two, "gram")
         .filter("root_a < root_b")
-        .filter(lengths_fit(percent))
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
-        .agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
-        .filter(places_fit(percent))
-        .select("a", "b", "n_a", "n_b")
+        .filter(lengths_fit(percent) & places_fit(percent))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
+        .distinct()
     )
     return found.union(verified(pairs, segments, percent))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import bpe, chat, importance, line_dedup, mixing, ngram_join, quality_rules, web_pages
+from linescope.llm import bpe, chat, hamming, importance, licenses, line_dedup, mixing, ngram_join, quality_rules, web_pages
 from linescope.llm.storage import table
 
 _ODD_TEXT = "</s>[INST] ok [/INST]"
@@ -18,6 +18,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chat(chat.format_chat(turns.union(more)))
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(rows, rows.filter("id % 20 = 0"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_topic(table(spark, sf_dir, "documents"))
     rows = mixing.mix(docs.select("doc_id", "source", "lang", "topic", "n_tokens"))
@@ -42,6 +47,20 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_pages.extract(table(spark, sf_dir, "pages"))
 
 
+#: The tables name no files: paths are made from source, language and doc_id,
+#: and one file in ten is its directory's licence file.
+_PATHS = """
+select doc_id, concat(source, '/', lang, '/d', cast(doc_id % 97 as varchar(20)), '/',
+         case when doc_id % 10 = 3 then concat('p', cast(doc_id % 89 as varchar(20)), '/LICENSE')
+              when doc_id % 500 = 7 then 'LICENSE' else concat('f', cast(doc_id as varchar(20)), '.txt') end) as path, text
+from documents
+"""
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark.sql(_PATHS.replace("from documents", "from {documents}"), documents=table(spark, sf_dir, "documents")))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,10 +77,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format,
+        op2_hamming_top_k,
         op3_mix_sources,
         op4_byte_bpe,
         op5_ngram_join,
         op6_html_extract,
+        op7_license_scan,
         op8_quality_classifier,
         op9_line_dedup,
         op10_quality_rules,
@@ -71,5 +92,13 @@ QUERIES = {
 _MIX, _MIXED = mixing.mix_sql()
 
 ORACLES: dict[str, str] = {
+    "op2_hamming_top_k": """
+with codes as (select vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) as bits from embeddings where embedding is not null),
+pairs as (select q.vec_id as query_id, d.vec_id as neighbor_id,
+                 cast(list_sum(list_transform(range(1, 65), lambda k: abs(q.bits[k] - d.bits[k]))) as integer) as distance
+          from codes q cross join codes d where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by distance, neighbor_id) as integer) as rank, neighbor_id, distance
+from pairs qualify row_number() over (partition by query_id order by distance, neighbor_id) <= 10""",
+    "op7_license_scan": licenses.scan_sql(_PATHS),
     "op3_mix_sources": f"with {_MIX} select doc_id, source, lang, topic, n_tokens, round(probability, 9) as probability, kept from {_MIXED}",
 }

@@ -9,8 +9,9 @@ reach `percent` similarity if it shares percent of n; the rest end here.
 
 An n-gram is named by its bucket and 40 more bits of its hash, so the name
 grows with the number of buckets; a set by 64 bits.  A bucket holds its share
-of all n-grams in one task, about 5 bytes each before it is unpacked; the
-number of buckets is spark.sql.shuffle.partitions.
+of all n-grams in one task, about 5 bytes each before it is unpacked, and a
+gathering task its share of the shared ones; both are numbered by
+spark.sql.shuffle.partitions.
 """
 
 from __future__ import annotations
@@ -94,11 +95,13 @@ def _deal(batches: Iterator[pa.RecordBatch], items_of: Callable[[pa.RecordBatch]
         yield _flushed(held, notes, buckets, turn + 1)
 
 
-_SHARED = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("freqs", pa.binary()), ("notes", pa.binary())])
+_SHARED = pa.schema([("target", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("freqs", pa.binary()), ("notes", pa.binary())])
+_SHARED_DDL = "target int, nodes binary, sizes binary, counts binary, grams binary, freqs binary, notes binary"
 
 
-def _shared_of(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
-    """N-grams of a bucket that two sets share, one row per set."""
+def _shared_of(bucket: int, parts: list[tuple], targets: int) -> pa.RecordBatch:
+    """N-grams of a bucket that two sets share, packed by set, one row for each
+    task that gathers sets."""
     nodes = np.concatenate([np.frombuffer(p[0], np.int64) for p in parts])
     sizes = np.concatenate([np.frombuffer(p[1], np.int32) for p in parts])
     counts = np.concatenate([np.frombuffer(p[2], np.int32) for p in parts]).astype(np.int64)
@@ -117,59 +120,79 @@ def _shared_of(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
     freqs[order] = np.repeat(repeats, repeats)
     keep = freqs > 1
     owner = np.repeat(np.arange(len(nodes)), counts)[keep]
-    left = np.bincount(owner, minlength=len(nodes))
-    rows = np.flatnonzero(left)
-    ends = np.append(0, np.cumsum(left[rows]))
-
-    def binary(values: np.ndarray) -> pa.Array:
-        offsets = (ends * values.itemsize).astype(np.int64)
-        return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
-
-    columns = [pa.array(nodes[rows]), pa.array(sizes[rows]), binary(grams[keep]), binary(freqs[keep]), pa.nulls(len(rows), pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, schema=_SHARED)
+    grams, freqs = grams[keep], freqs[keep]
+    left = np.bincount(owner, minlength=len(nodes)).astype(np.int32)
+    target = (nodes % targets).astype(np.int32)
+    sets = np.flatnonzero(left)
+    sets = sets[np.argsort(target[sets], kind="stable")]
+    place = np.empty(len(nodes), np.int64)
+    place[sets] = np.arange(len(sets))
+    order = np.argsort(place[owner], kind="stable")
+    grams, freqs, nodes, sizes, left, target = grams[order], freqs[order], nodes[sets], sizes[sets], left[sets], target[sets]
+    ends = np.append(0, np.cumsum(left))
+    edges = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(sets) else []
+    rows = []
+    for low, high in zip(edges, [*edges[1:], len(sets)]):
+        held = slice(ends[low], ends[high])
+        rows.append((int(target[low]), *(x.tobytes() for x in (nodes[low:high], sizes[low:high], left[low:high], grams[held], freqs[held])), None))
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], f.type) for k, f in enumerate(_SHARED)], schema=_SHARED)
 
 
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _share(batches: Iterator[pa.RecordBatch], targets: int) -> Iterator[pa.RecordBatch]:
     bucket, parts = None, []
     for batch in batches:
         for key, *part, notes in zip(*(c.to_pylist() for c in batch.columns)):
             if notes is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, None, None, notes), _SHARED)], schema=_SHARED)
+                row = (None, None, None, None, None, None, notes)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SHARED)], schema=_SHARED)
                 continue
             if parts and key != bucket:
-                yield _shared_of(bucket, parts)
+                yield _shared_of(bucket, parts, targets)
                 parts = []
             bucket = key
             parts.append(part)
     if parts:
-        yield _shared_of(bucket, parts)
+        yield _shared_of(bucket, parts, targets)
 
 
 _NODES = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())), ("freqs", pa.list_(pa.int32()))])
 
 
+def _sets_of(parts: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
+    """The sets of one target that share enough, their n-grams put together."""
+    nodes, sizes, counts, grams, freqs = (
+        np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in enumerate((np.int64, np.int32, np.int32, np.int64, np.int32))
+    )
+    names, first, place = np.unique(nodes, return_index=True, return_inverse=True)
+    n = sizes[first]
+    shared = np.bincount(place, weights=counts, minlength=len(names)).astype(np.int64)
+    enough = 100 * shared >= percent * n.astype(np.int64)
+    owner = np.repeat(place, counts)
+    held = enough[owner]
+    owner, grams, freqs = owner[held], grams[held], freqs[held]
+    order = np.lexsort((grams, freqs, owner))
+    ends = np.append(0, np.cumsum(shared[enough]))
+    names, n = names[enough], n[enough]
+    step = max(1, int(len(names) * 500_000 / max(1, len(grams))))
+    for k in range(0, len(names), step):
+        mine = slice(k, k + step)
+        low, high = ends[k], ends[min(k + step, len(names))]
+        offsets = pa.array((ends[k : min(k + step, len(names)) + 1] - low).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order[low:high]])) for x in (grams, freqs)]
+        yield pa.RecordBatch.from_arrays([pa.array(names[mine]), pa.array(n[mine]), *lists], schema=_NODES)
+
+
 def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    def node() -> tuple | None:
-        grams = np.frombuffer(b"".join(p[0] for p in parts), np.int64)
-        if 100 * len(grams) < percent * key[1]:
-            return None
-        freqs = np.frombuffer(b"".join(p[1] for p in parts), np.int32)
-        order = np.lexsort((grams, freqs))
-        return *key, grams[order], freqs[order]
-
-    key, parts = None, []
+    target, parts = None, []
     for batch in batches:
-        rows = []
-        for *name, grams, freqs in zip(*(c.to_pylist() for c in batch.columns)):
-            if parts and name != key:
-                rows.append(node())
+        for key, *part in zip(*(c.to_pylist() for c in batch.columns)):
+            if parts and key != target:
+                yield from _sets_of(parts, percent)
                 parts = []
-            key = name
-            parts.append((grams, freqs))
-        if rows := [row for row in rows if row]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _NODES)], schema=_NODES)
-    if parts and (row := node()):
-        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, _NODES)], schema=_NODES)
+            target = key
+            parts.append(part)
+    if parts:
+        yield from _sets_of(parts, percent)
 
 
 def _noted(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +212,12 @@ def candidate_sets(rows: DataFrame, items_of: Callable[[pa.RecordBatch], Iterato
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(lambda b: _deal(b, items_of, buckets), _DEALT_DDL)
     shared = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = saved(shared.mapInArrow(_share, "node bigint, n int, grams binary, freqs binary, notes binary"))
+    shared = saved(shared.mapInArrow(lambda b: _share(b, buckets), _SHARED_DDL))
     nodes = (
-        shared.filter("node is not null")
-        .select("node", "n", "grams", "freqs")
-        .repartition(buckets, "node")
-        .sortWithinPartitions("node", "n")
+        shared.filter("target is not null")
+        .drop("notes")
+        .repartition(buckets, "target")
+        .sortWithinPartitions("target")
         .mapInArrow(lambda b: _gather(b, percent), "node bigint, n int, grams array<bigint>, freqs array<int>")
     )
     notes = shared.filter("notes is not null").select("notes").mapInArrow(lambda b: _noted(b, names), ", ".join(f"{n} bigint" for n in names))
@@ -202,7 +225,7 @@ def candidate_sets(rows: DataFrame, items_of: Callable[[pa.RecordBatch], Iterato
 
 
 def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, n, place, gram): the n-grams of which two similar sets share one.
+    """(node, n, unshared, place, gram): the n-grams of which two similar sets share one.
 
     `place` counts from 0 in the set's whole order, n-grams that no other set
     holds first.
@@ -212,7 +235,7 @@ def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
     return (
         nodes.withColumn("need", need)
         .select("node", "n", (F.col("n") - F.size("grams")).alias("unshared"), F.posexplode(first).alias("place", "gram"))
-        .select("node", "n", (F.col("unshared") + F.col("place")).alias("place"), "gram")
+        .select("node", "n", "unshared", (F.col("unshared") + F.col("place")).alias("place"), "gram")
     )
 
 
@@ -222,7 +245,8 @@ def lengths_fit(percent: int) -> Column:
 
 
 def places_fit(percent: int) -> Column:
-    """What stands behind the first shared n-gram suffices in both sets."""
+    """What stands behind a shared n-gram suffices in both sets.  It must at the
+    first one that a similar pair shares, so it may be asked of every one."""
     return F.expr(f"(100 + {percent}) * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)")
 
 
