@@ -63,13 +63,13 @@ def line_sets(data: bytes, size: int = SIZE) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _lines(batch: pa.RecordBatch) -> Iterator[Items]:
-    """The sets of a document's lines; notes (doc_id, mark of the text, place, node)."""
+    """The sets of a document's lines; notes (doc_id, mark of the text, place)."""
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         data = (text or "").encode("utf-8", "surrogatepass")
         doc_id, mark = NONE if doc_id is None else doc_id, mark_of(data)
         sets, notes = [], []
         for place, grams in line_sets(data):
-            name = max(set_name(grams), NONE + 1)
+            name = set_name(grams)
             sets.append((name, grams))
             notes.append((doc_id, mark, place, name))
         yield sets, notes
@@ -77,39 +77,43 @@ def _lines(batch: pa.RecordBatch) -> Iterator[Items]:
 
 def earlier_matches(nodes: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Nodes (node) whose earliest place has an earlier similar line."""
-    sets = nodes.select("node", "n", "grams")
-    postings = saved(prefixes(nodes, percent).join(first, "node"))
-    earliest = postings.groupBy("gram").agg(F.min(F.struct("first", "node", "n", "place")).alias("other"))
+    sets = nodes.select("node", "grams")
+    # Numbers in the order of the lines stand for the nodes: partitions of a sort
+    # are in order, and so are these ids.
+    order = first.join(nodes.select("node"), "node").orderBy("first").select("node", F.monotonically_increasing_id().alias("line"))
+    order = saved(order)
+    sets = sets.join(order, "node").select("line", "grams")
+    postings = saved(prefixes(nodes, percent).join(order, "node").select("line", "n", "place", "gram"))
+    earliest = postings.groupBy("gram").agg(F.min(F.struct("line", "n", "place")).alias("other"))
     heads = postings.join(earliest, "gram").select(
-        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), "first",
-        F.col("other.node").alias("b"), F.col("other.n").alias("n_b"), F.col("other.place").alias("place_b"), F.col("other.first").alias("before"),
+        F.col("line").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"),
+        F.col("other.line").alias("b"), F.col("other.n").alias("n_b"), F.col("other.place").alias("place_b"),
     )
-    settled = saved(_matched(_thinned(heads.filter("before < first"), percent), sets, percent))
-    open_lines = postings.join(settled, "node", "left_anti")
-    mine = open_lines.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), "first", "gram")
-    others = postings.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("first").alias("before"), "gram")
-    rest = mine.join(others, "gram").filter("before < first")
-    return settled.union(_matched(_thinned(rest, percent), sets, percent)).distinct()
+    settled = saved(_matched(_thinned(heads, percent), sets, percent))
+    mine = postings.join(settled, "line", "left_anti")
+    mine = mine.select(F.col("line").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), "gram")
+    others = postings.select(F.col("line").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), "gram")
+    rest = _thinned(mine.join(others, "gram"), percent)
+    return settled.union(_matched(rest, sets, percent)).distinct().join(order, "line").select("node")
 
 
 def _thinned(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs that pass the length and position filters."""
-    return pairs.filter(lengths_fit(percent) & places_fit(percent)).select("a", "n_a", "b", "n_b").distinct()
+    """Distinct pairs of a line and an earlier one that pass the length and
+    position filters."""
+    return pairs.filter((F.col("b") < F.col("a")) & lengths_fit(percent) & places_fit(percent)).select("a", "n_a", "b", "n_b").distinct()
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+    left = sets.select(F.col("line").alias("a"), F.col("grams").alias("left"))
+    right = sets.select(F.col("line").alias("b"), F.col("grams").alias("right"))
     both = pairs.join(left, "a").join(right, "b").withColumn("overlap", F.size(F.array_intersect("left", "right")))
-    return both.filter(similar("overlap", percent)).select(F.col("a").alias("node")).distinct()
+    return both.filter(similar("overlap", percent)).select(F.col("a").alias("line")).distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, mark, removed_lines): places, from 0, of the lines to remove, of
     every document (doc_id and hash of its text) that has any."""
-    names = ["doc_id", "mark", "place", "node"]
-    nodes, places = candidate_sets(docs.select("doc_id", "text"), _lines, percent, names)
-    places = saved(places)
+    nodes, places = candidate_sets(docs.select("doc_id", "text"), _lines, percent, ["doc_id", "mark", "place"])
     spot = F.struct("doc_id", "mark", "place")
     first = saved(places.groupBy("node").agg(F.min(spot).alias("first")))
     again = earlier_matches(nodes, first, percent).withColumn("beaten", F.lit(True))

@@ -46,15 +46,15 @@ def gram_set(text: str | None, size: int) -> np.ndarray:
 
 
 def _documents(batch: pa.RecordBatch, size: int) -> Iterator[Items]:
-    """The set of each document; notes (doc_id, n, 0, node)."""
+    """The set of each document; notes (doc_id, 0, 0)."""
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         doc_id = NONE if doc_id is None else doc_id
         grams = gram_set(text, size)
         if len(grams):
             name = set_name(grams)
-            yield [(name, grams)], [(doc_id, len(grams), 0, name)]
+            yield [(name, grams)], [(doc_id, 0, 0, name)]
         else:
-            yield [], [(doc_id, 0, 0, NONE)]
+            yield [], [(doc_id, 0, 0, None)]
 
 
 def fragments_of(nodes: DataFrame, fragments: int) -> DataFrame:
@@ -127,10 +127,10 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, fragment
 
     Two documents link when 100 * intersection >= percent * union.
     """
-    nodes, notes = candidate_sets(docs.select("doc_id", "text"), lambda b: _documents(b, size), percent, ["doc_id", "n_shingles", "zero", "node"])
+    nodes, notes = candidate_sets(docs.select("doc_id", "text"), lambda b: _documents(b, size), percent, ["doc_id", "zero", "nil"])
     roots = components(links(nodes, percent, fragments)).select(F.col("node").alias("linked"), "root")
     placed = notes.join(roots, F.col("node") == F.col("linked"), "left")
-    placed = placed.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))
