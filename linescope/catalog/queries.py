@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ from linescope.operators import ignore as ignored
 from linescope.operators import policy
 from linescope.operators import warnings as W
 from linescope.operators.counts import effective_counts
+from linescope.plans import runs as runs_plan
 from linescope.plans.analyze import analyze_files
 from linescope.session import checkpoint_dir
-from linescope.settings import MIXED_LINE_POLICIES, PRESETS, Settings, parse_settings
+from linescope.settings import MIXED_LINE_POLICIES, Settings, parse_settings
 from linescope.sinks import runs as sinks
 from linescope.sources import files as S
 from linescope.sources import runs as R
@@ -52,6 +54,12 @@ def records(spark: SparkSession, sf: str, settings: Settings | None = None) -> D
     return analyze_files(V.files(spark, sf), settings, run_id="run")
 
 
+def saved_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of a run, saved first: what sorts or exports them should not
+    analyse the files again."""
+    return sinks.save_records(records(spark, sf), scratch(spark, "records"))
+
+
 def corpus_text(spark: SparkSession, sf: str) -> DataFrame:
     """Corpus texts with their detected language, without selection."""
     language = detect.detect_language(F.col("path"), K.first_line(F.col("text")))
@@ -74,14 +82,22 @@ def scan_files(spark, sf):
     return V.files(spark, sf).select("path", "relative_path", "size_bytes")
 
 
+_FIRST_FILE = f"(select min(path) from ({V.CORPUS}) c where path like '/repo/src1/%')"
+
+
+def _first_file(spark, sf) -> str:
+    """A file to name as a root."""
+    return V.corpus(spark, sf).where(F.startswith("path", F.lit("/repo/src1/"))).agg(F.min("path")).first()[0]
+
+
 @query(
     "scan_single_file",
-    f"select path, regexp_replace(path, '/[^/]*$', '') as root, string_split(path, '/')[-1] as relative_path "
-    f"from ({V.CORPUS}) c",
+    f"select path, regexp_replace(path, '/[^/]*$', '') as root, string_split(path, '/')[-1] as relative_path, "
+    f"strlen(text) as size_bytes from ({V.CORPUS}) c where path = {_FIRST_FILE}",
 )
 def scan_single_file(spark, sf):
     corpus = V.corpus(spark, sf).select("path", F.encode("text", "UTF-8").alias("content"))
-    return S.from_table(corpus, P.parent(F.col("path"))).select("path", "root", "relative_path")
+    return S.scan_single_file(corpus, _first_file(spark, sf)).select("path", "root", "relative_path", "size_bytes")
 
 
 ROOTS = ["/repo/src1/en", "/repo", "/repo/src1"]
@@ -107,10 +123,16 @@ def union_roots(spark, sf):
 @query(
     "dedupe_paths",
     f"select root, path, relative_path from (select *, row_number() over (partition by path order by root_ord) as rn "
-    f"from ({_UNION}) u) d where rn = 1",
+    f"from ({_UNION}) u) d where rn = 1 "
+    f"union all select regexp_replace(p, '/[^/]*$', ''), p, string_split(p, '/')[-1] from (select {_FIRST_FILE} as p) f",
 )
 def dedupe_paths(spark, sf):
-    return S.dedupe_paths(_roots(spark, sf), ROOTS).select("root", "path", "relative_path")
+    """Three directories and, in front of them, a file that lies in all."""
+    file = _first_file(spark, sf)
+    corpus = V.corpus(spark, sf).select("path", F.encode("text", "UTF-8").alias("content"))
+    parts = [S.from_table(corpus.where(P.is_below(F.col("path"), F.lit(root))), root) for root in ROOTS]
+    files = S.union_roots([S.scan_single_file(corpus, file), *parts])
+    return S.dedupe_paths(files, [file, *ROOTS], file_roots=[0]).select("root", "path", "relative_path")
 
 
 @query(
@@ -283,7 +305,7 @@ def policy_rank(spark, sf):
 
 @query("hidden_filter", _visible("true"))
 def hidden_filter(spark, sf):
-    return policy.visible(V.files(spark, sf)).select("relative_path")
+    return policy.visible(V.paths(spark, sf)).select("relative_path")
 
 
 @query(
@@ -293,7 +315,7 @@ def hidden_filter(spark, sf):
 )
 def glob_match(spark, sf):
     rel = F.col("relative_path")
-    return V.files(spark, sf).select(
+    return V.paths(spark, sf).select(
         "relative_path",
         P.glob_match(rel, ["**/f*[05].{py,c,rs}"]).alias("numbered"),
         P.glob_match(rel, ["src1?/**/deep/**"]).alias("deep"),
@@ -307,7 +329,7 @@ def glob_match(spark, sf):
 )
 def wildcard_match(spark, sf):
     rel = F.col("relative_path")
-    return V.files(spark, sf).select(
+    return V.paths(spark, sf).select(
         "relative_path",
         P.wildcard_match(rel, ["*/f??7.*"]).alias("hit"),
         P.wildcard_match(rel, [" src1\\* "]).alias("below"),
@@ -321,7 +343,7 @@ _DIRS = f"""select distinct array_to_string(parts[1:i], '/') as dir from (
 
 @query("preview_dir_filter", f"select dir, dir like 'src2/%' or dir = 'src2' or dir like '%/deep/%' or dir like '%/deep' as skipped from ({_DIRS}) d")
 def preview_dir_filter(spark, sf):
-    dirs = V.files(spark, sf).select(F.explode(P.directories(F.col("relative_path"))).alias("dir")).distinct()
+    dirs = V.paths(spark, sf).select(F.explode(P.directories(F.col("relative_path"))).alias("dir")).distinct()
     return dirs.select("dir", P.preview_skips_directory(F.col("dir"), ["src2/*", "*/deep/placeholder"]).alias("skipped"))
 
 
@@ -337,7 +359,7 @@ ORACLES["preview_dir_filter"] = (
     f"and not relative_path like '%deep%'",
 )
 def preview_file_filter(spark, sf):
-    return V.files(spark, sf).where(
+    return V.paths(spark, sf).where(
         P.preview_includes_file(F.col("relative_path"), ["src1*", "*.py"], ["*deep*"])
     ).select("relative_path")
 
@@ -372,22 +394,20 @@ def split_patterns(spark, sf):
     f"""select relative_path from ({O.corpus()}) c where not (
   (relative_path like '%.md' and not relative_path like 'src1/%')
   or regexp_matches(relative_path, '(^|/)deep/') or regexp_matches(relative_path, '^src2/de/')
-  or (relative_path like 'src3/%' and relative_path like '%.c')
+  or (relative_path like 'src3/%' and relative_path like '%.c' and not regexp_matches(relative_path, 'f[0-9]*5\\.c$'))
   or regexp_matches(relative_path, '^src5/.*f[0-9]*1\\.'))""",
 )
 def ignore_rules(spark, sf):
-    files = V.files(spark, sf)
-    # The ignore files planted in the corpus.
-    planted = {
-        "": "# top\n*.md\ndeep/\n/src2/de\nsrc5/**/f*1.*\n",
-        "src1": "!*.md\n",
-        "src3": "*.c\n\n\\!odd\n",
-    }
-    texts = F.create_map(*[F.lit(part) for pair in planted.items() for part in pair])
-    source = F.substring_index("relative_path", "/", 1)
-    rules = files.select(F.explode(F.array(F.lit(""), source)).alias("dir")).distinct().select(
-        "dir", F.try_element_at(texts, F.col("dir")).alias("text")
-    ).where(F.col("text").isNotNull())
+    files = V.paths(spark, sf)
+    # The ignore files planted in the corpus.  `.ignore` outranks
+    # `.gitignore` whatever their lines; malformed lines state no rule.
+    planted = [
+        ("", ".gitignore", "# top\n*.md\ndeep/\n/src2/de\nsrc5/**/f*1.*\nsrc6/[a\nsrc7/[z-a]*\n"),
+        ("src1", ".gitignore", "!*.md\n"),
+        ("src3", ".gitignore", "\n\n*.c\n\n\\!odd\n"),
+        ("src3", ".ignore", "!f*5.c\n"),
+    ]
+    rules = spark.createDataFrame(planted, "dir string, kind string, text string")
     return ignored.apply_ignore_rules(files, ignored.parse_ignore_files(rules)).select("relative_path")
 
 
@@ -846,9 +866,15 @@ def all_records(spark, sf):
     return rows.groupBy("status").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("size_bytes"))
 
 
-@query("sort_files", O.with_records("select relative_path, language, status from records"))
+@query(
+    "sort_files",
+    O.with_records(
+        "select relative_path, language, status, cast(row_number() over (order by relative_path, path) as bigint) as position from records"
+    ),
+)
 def sort_files(spark, sf):
-    return records(spark, sf).orderBy("relative_path", "path").select("relative_path", "language", "status")
+    rows = rollup.sort_files(saved_records(spark, sf).select("relative_path", "path", "language", "status"))
+    return rows.select("relative_path", "language", "status", F.col("number").alias("position"))
 
 
 _TAGGED = f"""
@@ -952,6 +978,10 @@ def warned(spark, sf):
     return W.run_warnings(records(spark, sf))
 
 
+def saved_warnings(spark, sf):
+    return W.run_warnings(saved_records(spark, sf))
+
+
 @query("run_warnings", O.with_records(f"{_WARNINGS} select relative_path, warning from warned"))
 def run_warnings(spark, sf):
     return warned(spark, sf).select("relative_path", "warning")
@@ -1008,7 +1038,7 @@ from (select cast(row_number() over (order by relative_path, warning) as bigint)
     ),
 )
 def number_console(spark, sf):
-    return W.number_console(warned(spark, sf))
+    return W.number_console(saved_warnings(spark, sf))
 
 
 @query(
@@ -1020,7 +1050,7 @@ from (select row_number() over (order by relative_path, warning) as number, warn
     ),
 )
 def warning_preview(spark, sf):
-    return W.warning_preview(warned(spark, sf))
+    return W.warning_preview(saved_warnings(spark, sf))
 
 
 # ---------------------------------------------------------------- preview
@@ -1061,21 +1091,16 @@ d as (select distinct array_to_string(parts[1:i], '/') as relative_path, parts[1
   (select parts, unnest(range(1, len(parts))) as i from f) x),
 e as (select *, true as is_dir from d union all select *, false from f where relative_path not like '%.md'),
 shown as (select relative_path, parts, is_dir, parts[-1] as name from e
-  where not list_has_any(parts[1:-2], {_CLOSED}) and parts[1] <> 'src2'
-  and len(parts) <= 9 order by string_split(lower(relative_path), '/'), relative_path limit 600),
+  where not list_has_any(parts[1:-2], {_CLOSED}) and parts[1] <> 'src2'),
 tree as (select relative_path, case when len(parts) > 1 then array_to_string(parts[1:-2], '/') end as parent,
   len(parts) as depth, is_dir, case when is_dir then name || '/' else name end as name,
   case when is_dir then 'dir' else {_PK} end as kind, case when not is_dir then {_PL} end as language,
   case when is_dir then 'Directory' else {_PT} end as type_label from shown)"""
 
 
-def tree(spark, sf):
-    return preview.preview_tree(V.files(spark, sf), exclude=["src2/*", "*.md"])
-
-
 @query("preview_tree", f"{_TREE} select * from tree")
 def preview_tree(spark, sf):
-    return tree(spark, sf)
+    return preview.preview_tree(V.paths(spark, sf), exclude=["src2/*", "*.md"])
 
 
 @query(
@@ -1088,7 +1113,7 @@ def preview_tree(spark, sf):
   array_to_string(list_sort(list_distinct(list(language) filter (language is not null))), ',') as languages from tree""",
 )
 def preview_stats(spark, sf):
-    return preview.preview_stats(tree(spark, sf))
+    return preview.preview_stats(preview.preview_rows(V.paths(spark, sf), exclude=["src2/*", "*.md"]))
 
 
 # ---------------------------------------------------------------- comparison
@@ -1096,7 +1121,7 @@ def preview_stats(spark, sf):
 _LONGER = "case when lang = 'fr' then concat(text, chr(10), 'x = 1', chr(10), chr(10), '// y', chr(10)) else text end"
 
 
-def two_runs(spark, sf):
+def two_runs_saved(spark, sf):
     """A baseline without one source, and a current run without another whose
     French texts have three more lines.
 
@@ -1106,10 +1131,13 @@ def two_runs(spark, sf):
     corpus = V.corpus(spark, sf)
     base = corpus.where(F.col("source") != "src3").withColumn("run", F.lit("base"))
     cur = corpus.where(F.col("source") != "src7").withColumns({"run": F.lit("cur"), "text": F.expr(_LONGER)})
-    path = scratch(spark, "runs")
     files = V.corpus_files(base.unionByName(cur), "run")
-    analyze_files(files, run_id=F.col("run")).write.partitionBy("run_id").parquet(path)
-    saved = rollup.analyzed(spark.read.parquet(path))
+    return sinks.save_records(analyze_files(files, run_id=F.col("run")), scratch(spark, "runs"))
+
+
+def two_runs(spark, sf):
+    """The analysed records of both runs."""
+    saved = rollup.analyzed(two_runs_saved(spark, sf))
     return saved.where(F.col("run_id") == "base"), saved.where(F.col("run_id") == "cur")
 
 
@@ -1137,9 +1165,17 @@ def file_delta(spark, sf):
     return deltas(spark, sf)
 
 
-@query("sort_deltas", f"{_DELTA} select * from deltas")
+_RANK = "case status when 'modified' then 0 when 'added' then 1 when 'removed' then 2 else 3 end"
+
+
+@query(
+    "sort_deltas",
+    f"{_DELTA} select *, cast(row_number() over (order by {_RANK}, relative_path, current_code, baseline_code, total_delta) as bigint) as position from deltas",
+)
 def sort_deltas(spark, sf):
-    return delta.sort_deltas(deltas(spark, sf))
+    ranked = deltas(spark, sf).withColumn("_rank", delta.status_rank())
+    rows = W.numbered(ranked, "_rank", "relative_path", "current_code", "baseline_code", "total_delta")
+    return rows.drop("_rank").withColumnRenamed("number", "position")
 
 
 @query(
@@ -1272,14 +1308,20 @@ def prune_stale(spark, sf):
     return history.prune_stale(V.runs(spark, sf), V.artifacts(spark, sf)).select("run_id", "json_path")
 
 
-_WITH_JSON = f"(select * from {_RUN} where json_path in (select path from {_ART} a)) j"
-_BY_ROOT = "(partition by root order by timestamp_utc, run_id)"
+_WITH_JSON = f"(select *, json_path in (select path from {_ART} a) as has_json from {_RUN}) j"
+_EARLIER = "(partition by root order by timestamp_utc, run_id rows between unbounded preceding and 1 preceding)"
+
+
+def _before(column: str) -> str:
+    """Value of the newest earlier run whose JSON exists."""
+    return f"last_value(case when has_json then {column} end ignore nulls) over {_EARLIER}"
+
 
 
 @query(
     "prev_run",
-    f"select run_id, lag(run_id) over {_BY_ROOT} as prev_run_id, "
-    f"strftime(lag(timestamp_utc) over {_BY_ROOT}, '%Y-%m-%d %H:%M:%S') as prev_scanned from {_WITH_JSON}",
+    f"select run_id, {_before('run_id')} as prev_run_id, "
+    f"strftime({_before('timestamp_utc')}, '%Y-%m-%d %H:%M:%S') as prev_scanned from {_WITH_JSON}",
 )
 def prev_run(spark, sf):
     return history.prev_run(V.runs(spark, sf), V.artifacts(spark, sf)).select(
@@ -1287,27 +1329,32 @@ def prev_run(spark, sf):
     )
 
 
-@query("scan_number", f"select run_id, cast(row_number() over {_BY_ROOT} as bigint) as scan_number from {_RUN}")
+@query(
+    "scan_number",
+    f"select run_id, cast(coalesce(sum(case when has_json then 1 else 0 end) over {_EARLIER}, 0) + 1 as bigint) as scan_number from {_WITH_JSON}",
+)
 def scan_number(spark, sf):
-    return history.scan_number(V.runs(spark, sf))
+    return history.scan_number(V.runs(spark, sf), V.artifacts(spark, sf))
 
 
 @query(
     "run_change",
-    "select run_id, " + ", ".join(f"{n} - lag({n}) over {_BY_ROOT} as {n}_change" for n in history.TOTALS) + f" from {_RUN}",
+    "select run_id, "
+    + ", ".join(f"{_before(n)} as prev_{n}, {n} - {_before(n)} as {n}_change" for n in history.TOTALS)
+    + f" from {_WITH_JSON}",
 )
 def run_change(spark, sf):
-    return history.run_change(V.runs(spark, sf))
+    return history.run_change(V.runs(spark, sf), V.artifacts(spark, sf))
 
 
 @query(
     "run_change_text",
     f"""select run_id, case when d is null then '—' when d > 0 then '+' || d else cast(d as varchar) end as change,
   case when d is null then 'na' when d > 0 then 'pos' when d < 0 then 'neg' else 'zero' end as sign
-from (select run_id, code_lines - lag(code_lines) over {_BY_ROOT} as d from {_RUN}) x""",
+from (select run_id, code_lines - {_before('code_lines')} as d from {_WITH_JSON}) x""",
 )
 def run_change_text(spark, sf):
-    return history.run_change_text(V.runs(spark, sf))
+    return history.run_change_text(V.runs(spark, sf), V.artifacts(spark, sf))
 
 
 @query(
@@ -1399,16 +1446,33 @@ def history_filter(spark, sf):
     return history.history_filter(V.runs(spark, sf), project=" ICK ", branch="click").select("run_id")
 
 
-@query("runs_newest_first", f"select run_id, {_SECOND.format('timestamp_utc')} as scanned from {_RUN}")
+def _positioned(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their place, from 1.  Partitions of a sort are in order,
+    and so are monotonically increasing ids."""
+    kept = rows.withColumn("_place", F.monotonically_increasing_id()).checkpoint()
+    return W.numbered(kept, "_place").drop("_place").withColumnRenamed("number", "position")
+
+
+@query(
+    "runs_newest_first",
+    f"select run_id, {_SECOND.format('timestamp_utc')} as scanned, "
+    f"cast(row_number() over (order by timestamp_utc desc, run_id desc) as bigint) as position from {_RUN}",
+)
 def runs_newest_first(spark, sf):
-    return history.runs_newest_first(V.runs(spark, sf)).select(
+    checkpoint_dir(spark)
+    rows = history.runs_newest_first(V.runs(spark, sf)).select(
         "run_id", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss").alias("scanned")
     )
+    return _positioned(rows)
 
 
-@query("table_sort", f"select run_id, project_label from {_RUN}")
+@query(
+    "table_sort",
+    f"select run_id, project_label, cast(row_number() over (order by lower(project_label), run_id) as bigint) as position from {_RUN}",
+)
 def table_sort(spark, sf):
-    return history.table_sort(V.runs(spark, sf), "project_label", tie="run_id").select("run_id", "project_label")
+    checkpoint_dir(spark)
+    return _positioned(history.table_sort(V.runs(spark, sf), "project_label", tie="run_id").select("run_id", "project_label"))
 
 
 @query(
@@ -1441,23 +1505,39 @@ def enrich_languages(spark, sf):
 # ---------------------------------------------------------------- sinks, written and read back
 
 
+_SUMMARY = [("Files Analyzed", f"count(*) filter ({ANALYZED})"), ("Files Skipped", f"count(*) filter (not ({ANALYZED}))")] + [
+    (label, f"sum({name})") for label, name in (
+        ("Physical Lines", "total_physical_lines"), ("Code Lines", "code_lines"), ("Comment Lines", "comment_lines"),
+        ("Blank Lines", "blank_lines"), ("Mixed Lines (separate)", "mixed_lines_separate"))
+]
+_CSV_SUMMARY = " union all ".join(
+    f"select 'summary' as section, '{label}' as name, null as size, cast({value} as varchar) as code, null as physical from records"
+    for label, value in _SUMMARY
+)
+
+
 @query(
     "write_run_csv",
     O.with_records(
-        f'select relative_path as "Path", language as "Language", cast(size_bytes as varchar) as "Size", '
-        f'cast(code_lines as varchar) as "Code", cast(total_physical_lines as varchar) as "Physical" '
-        f"from records where {ANALYZED}"
+        f"""{_CSV_SUMMARY}
+union all select 'language', language, cast(count(*) as varchar), cast(sum(code_lines) as varchar),
+  cast(sum(total_physical_lines) as varchar) from records where {ANALYZED} group by language
+union all select 'file', relative_path, cast(size_bytes as varchar), cast(code_lines as varchar),
+  cast(total_physical_lines as varchar) from records where {ANALYZED}"""
     ),
 )
 def write_run_csv(spark, sf):
+    """All three sections of the export, read back."""
     path = scratch(spark, "csv")
-    rows = records(spark, sf)
-    sinks.write_table(sinks.file_table(rows), f"{path}/per_file")
-    back = spark.read.csv(f"{path}/per_file", header=True, lineSep="\r\n", escape='"')
-    return back.select(
-        "Path", "Language", F.col("Size (bytes)").alias("Size"), F.col("Code Lines").alias("Code"),
-        F.col("Physical Lines").alias("Physical"),
+    sinks.write_run_csv(saved_records(spark, sf), path, "run", datetime(2024, 1, 2, tzinfo=timezone.utc), "Title")
+    read = lambda name: spark.read.csv(f"{path}/{name}", header=True, lineSep="\r\n", escape='"')
+    none = F.lit(None).cast("string")
+    summary = read("summary").where(~F.col("Metric").isin("Run ID", "Timestamp", "Report Title")).select(
+        F.lit("summary").alias("section"), F.col("Metric").alias("name"), none.alias("size"), F.col("Value").alias("code"), none.alias("physical")
     )
+    by_language = read("by_language").select(F.lit("language"), "Language", "Files", "Code Lines", "Physical Lines")
+    per_file = read("per_file").select(F.lit("file"), "Path", "Size (bytes)", "Code Lines", "Physical Lines")
+    return summary.union(by_language).union(per_file)
 
 
 @query(
@@ -1469,7 +1549,7 @@ def write_run_csv(spark, sf):
 )
 def write_skipped_table(spark, sf):
     path = scratch(spark, "skipped")
-    sinks.write_skipped_table(records(spark, sf), path)
+    sinks.write_skipped_table(saved_records(spark, sf), path)
     back = spark.read.csv(path, header=True, lineSep="\r\n", escape='"')
     return back.select("Path", "Status", F.col("Size (bytes)").alias("Size"))
 
@@ -1477,23 +1557,50 @@ def write_skipped_table(spark, sf):
 @query(
     "write_diff_csv",
     f"{_DELTA} select upper(status[1]) || status[2:] as status, relative_path as path, language, "
-    f"cast(code_delta as varchar) as code, cast(total_delta as varchar) as total from deltas",
+    f"cast(code_delta as varchar) as code, cast(total_delta as varchar) as total from deltas "
+    + " ".join(
+        f"union all select 'summary', 'Files {s.capitalize()}', null, cast(count(*) filter (status = '{s}') as varchar), null from deltas"
+        for s in ("added", "removed", "modified", "unchanged")
+    ),
 )
 def write_diff_csv(spark, sf):
     path = scratch(spark, "diff")
-    sinks.write_table(sinks.diff_file_table(deltas(spark, sf)), path)
-    back = spark.read.csv(path, header=True, lineSep="\r\n", escape='"')
-    return back.toDF(*[name.lower().replace(" ", "_") for name in back.columns]).select(
+    changes = _saved_deltas(spark, sf)
+    sinks.write_diff_csv(_diff_summary(changes), changes, path)
+    back = spark.read.csv(f"{path}/file_deltas", header=True, lineSep="\r\n", escape='"')
+    counts = spark.read.csv(f"{path}/summary", header=True, lineSep="\r\n", escape='"').where(F.startswith("Metric", F.lit("Files ")))
+    none = F.lit(None).cast("string")
+    counts = counts.select(F.lit("summary").alias("status"), F.col("Metric").alias("path"), none.alias("language"), F.col("Value").alias("code"), none.alias("total"))
+    return counts.union(back.toDF(*[name.lower().replace(" ", "_") for name in back.columns]).select(
         "status", "path", "language", F.col("code_δ").alias("code"), F.col("total_δ").alias("total")
-    )
+    ))
 
 
-@query("write_diff_json", f"{_DELTA} select relative_path, status, code_delta, total_delta from deltas")
+def _saved_deltas(spark, sf) -> DataFrame:
+    """A comparison, saved: an export reads it three times."""
+    path = scratch(spark, "deltas")
+    deltas(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _diff_summary(changes: DataFrame) -> DataFrame:
+    """One row naming both runs, with the sums of the changes."""
+    sums = [F.sum(f"{c}_delta").alias(f"{name}_lines_delta") for c, name in (("code", "code"), ("comment", "comment"), ("blank", "blank"), ("total", "total"))]
+    return changes.agg(*sums).select(F.lit("base").alias("baseline_run_id"), F.lit("cur").alias("current_run_id"), "*")
+
+
+@query(
+    "write_diff_json",
+    f"{_DELTA} select relative_path, status, code_delta, total_delta from deltas "
+    f"union all select 'summary', 'modified', cast(count(*) filter (status = 'modified') as bigint), cast(sum(total_delta) as bigint) from deltas",
+)
 def write_diff_json(spark, sf):
     path = scratch(spark, "diffjson")
-    delta.sort_deltas(deltas(spark, sf)).write.json(path, ignoreNullFields=False)
-    back = spark.read.schema("relative_path string, status string, code_delta bigint, total_delta bigint").json(path)
-    return back
+    changes = _saved_deltas(spark, sf)
+    sinks.write_diff_json(_diff_summary(changes), changes, path)
+    back = spark.read.schema("relative_path string, status string, code_delta bigint, total_delta bigint").json(f"{path}/file_deltas")
+    summary = spark.read.schema("files_modified bigint, total_lines_delta bigint").json(f"{path}/summary")
+    return back.union(summary.select(F.lit("summary"), F.lit("modified"), "files_modified", "total_lines_delta"))
 
 
 _JSON_NAME = "case language " + " ".join(f"when {O.quoted(l.name)} then {O.quoted(l.json_name)}" for l in languages.LANGUAGES) + " end"
@@ -1505,7 +1612,7 @@ _JSON_NAME = "case language " + " ".join(f"when {O.quoted(l.name)} then {O.quote
 )
 def write_run_json(spark, sf):
     path = scratch(spark, "runjson")
-    sinks.write_run_json(records(spark, sf), path)
+    sinks.write_run_json(saved_records(spark, sf), path)
     shape = "relative_path string, language string, status string, size_bytes bigint, effective_counts struct<code_lines:bigint>"
     back = spark.read.schema(shape).json(f"{path}/files")
     return back.select("relative_path", "language", "status", "size_bytes", "effective_counts.code_lines")
@@ -1556,3 +1663,76 @@ def read_registry(spark, sf):
     return R.read_registry(spark, path).groupBy("git_branch").agg(
         F.count("*").alias("runs"), F.sum("code_lines").alias("code_lines")
     )
+
+
+# ---------------------------------------------------------------- whole scans
+
+_T0, _T1 = datetime(2024, 1, 2, tzinfo=timezone.utc), datetime(2024, 1, 3, tzinfo=timezone.utc)
+_PLAIN = "select relative_path, language, rule, size_bytes, total_physical_lines, code_lines, comment_lines, blank_lines from records"
+_COUNTED = ", ".join(
+    f"cast({value} as bigint) as {name}"
+    for name, value in [
+        ("files_analyzed", "count(*) filter (rule is null)"), ("files_skipped", "count(*) filter (rule is not null)"),
+        *[(n, f"sum({n}) filter (rule is null)") for n in ("total_physical_lines", "code_lines", "comment_lines", "blank_lines")],
+    ]
+)
+
+
+@query(
+    "scan_with_history",
+    f"""{_DELTA},
+old as ({O.with_records(_PLAIN, where="where source <> 'src3'")}),
+new as ({O.with_records(_PLAIN, where="where source <> 'src7'", text=_LONGER)}),
+o as (select {_COUNTED} from old), n as (select {_COUNTED} from new),
+c as (select {', '.join(f"cast(count(*) filter (status = '{s}') as bigint) as files_{s}" for s in ('added', 'removed', 'modified', 'unchanged'))},
+  cast(sum(case status when 'added' then current_code when 'modified' then greatest(code_delta, 0) else 0 end) as bigint) as lines_added,
+  cast(sum(case status when 'removed' then baseline_code when 'modified' then greatest(-code_delta, 0) else 0 end) as bigint) as lines_removed,
+  cast(sum(case status when 'unchanged' then current_code else 0 end) as bigint) as lines_unmodified from deltas)
+select 'cur' as run_id, 'repo' as project_label, 'base' as prev_run_id, 2 as scan_number,
+  {', '.join(f'n.{t}' for t in history.TOTALS)}, {', '.join(f'n.{t} - o.{t} as {t}_change' for t in history.TOTALS)},
+  c.*, lines_added - lines_removed as lines_net from o, n, c""",
+)
+def scan_with_history(spark, sf):
+    """A baseline scanned and registered, then a scan with that history."""
+    saved = two_runs_saved(spark, sf)
+    artifacts = spark.createDataFrame([("/out/base/result.json",)], "path string")
+    empty = R.read_registry(spark, scratch(spark, "none"))
+    facts = lambda run, when: runs_plan.run_facts(spark, run, when, ["/repo"], Settings(), json_path=f"/out/{run}/result.json")
+    first = runs_plan.scan_with_history(facts("base", _T0), saved, empty, artifacts)
+    path = scratch(spark, "registry")
+    sinks.save_registry(first.history, path)
+    return runs_plan.scan_with_history(facts("cur", _T1), saved, R.read_registry(spark, path), artifacts).summary
+
+
+@query(
+    "write_run_document",
+    with_tags(
+        f"""select relative_path as name, language, status, code_lines, submodule
+from (select r.relative_path, r.language, r.status, r.code_lines, t.submodule from records r
+  left join tagged t on t.relative_path = r.relative_path) f
+union all select 'run', {O.quoted(Settings().to_json())}, cast(count(*) as varchar), cast(sum(code_lines) as bigint),
+  cast(count(distinct language) filter ({ANALYZED}) as varchar) from records
+union all select 'submodule', submodule, cast(count(*) as varchar), cast(sum(code_lines) as bigint),
+  cast(count(distinct language) as varchar) from tagged where submodule is not null group by submodule"""
+    ),
+)
+def write_run_document(spark, sf):
+    """A run written as tables and read back: files, run row and submodules."""
+    path = scratch(spark, "document")
+    kept = sinks.save_records(tagged(spark, sf), scratch(spark, "records"))
+    facts = runs_plan.run_facts(spark, "run", _T0, ["/repo"], Settings())
+    subs = V.submodules(spark, sf).drop("root")
+    sinks.write_run_document(kept, runs_plan.run_rows(kept, facts), path, subs, W.run_warnings(kept))
+    run, back = R.read_run_document(spark, path)
+    files = back.select(
+        F.col("relative_path").alias("name"), "language", "status", F.col("effective.code_lines").alias("code_lines"),
+        F.when(rollup.is_analyzed(), F.col("submodule")).alias("submodule"),
+    )
+    top = run.select(
+        F.lit("run"), "effective_configuration", F.col("summary_totals.files_considered").cast("string"),
+        "summary_totals.code_lines", F.size("totals_by_language").cast("string"),
+    )
+    nested = run.select(F.inline("submodule_summaries")).select(
+        F.lit("submodule"), "name", F.col("files_analyzed").cast("string"), "code_lines", F.size("language_summaries").cast("string")
+    )
+    return files.union(top).union(nested)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linescope.functions.barrier import sealed
+from linescope.functions.paths import relative_path
 from linescope.session import configure
 from linescope.sources.files import from_table, spread
 
@@ -117,7 +118,8 @@ select concat('/out/', cast(event_id as varchar(20)), '/report.pdf') as path fro
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "pages") else rows
+    parts = spark.conf.get("spark.linescope.inputPartitions", None)
+    return spread(rows, int(parts)) if parts and name in ("documents", "pages") else rows
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
@@ -153,6 +155,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_files(corpus(spark, sf_dir))
 
 
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the file table alone; no text is read for them."""
+    path = F.col("path")
+    return corpus(spark, sf_dir).select("path", relative_path(path, F.lit("/repo")).alias("relative_path"))
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, PAGE_FILES, "pages").withColumn("language", F.lit("HTML"))
 

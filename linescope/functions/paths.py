@@ -90,6 +90,8 @@ def glob_regex(pattern: str) -> str:
         elif char == "?":
             out += "."
         elif group:
+            if any(a > b for a, b in re.findall(r"(?s)(.)-(.)", group[2])):
+                raise ValueError(f"invalid glob pattern: {pattern}")
             members = re.sub(r"([\\\[\]^&])", r"\\\1", group[2])
             out, rest = out + f"[{'^' if group[1] else ''}{members}]", rest[group.end():]
         elif char == "{":

@@ -28,12 +28,12 @@ _LANGUAGE_LIST = (
 
 
 def register_run(runs: DataFrame, new: DataFrame) -> DataFrame:
-    """Append runs; a new run replaces an entry of the same id."""
-    union = runs.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    payload = [name for name in runs.columns if name != "run_id"]
-    return union.groupBy("run_id").agg(F.max_by(F.struct(*payload), "_new").alias("_row")).select(
-        *["run_id" if name == "run_id" else f"_row.{name}" for name in runs.columns]
-    )
+    """Append runs; a new run replaces an entry of the same id.
+
+    The history is only probed for the new ids: where these are few, Spark
+    broadcasts them and shuffles none of it.
+    """
+    return runs.join(new.select("run_id").distinct(), "run_id", "left_anti").select(*runs.columns).unionByName(new)
 
 
 def runs_newest_first(runs: DataFrame) -> DataFrame:
@@ -58,13 +58,15 @@ def prune_stale(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def with_json(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Runs whose JSON file exists."""
-    return runs.join(artifacts.select(F.col("path").alias("json_path")).distinct(), "json_path", "left_semi")
+    """Runs with `has_json`: whether their JSON file exists."""
+    return _flagged(runs, artifacts, "json_path", "has_json")
 
 
-def along_time(runs: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
-    """Run id, keys and carried columns with `scan_number` (rank by time within
-    the keys) and `previous` (the carried columns of the run before).
+def along_time(runs: DataFrame, keys: Sequence[str], carry: Sequence[str], counted: str) -> DataFrame:
+    """Run id, keys and carried columns of every run, with `scan_number` (the
+    counted runs before it by time within the keys, plus one) and `previous`
+    (the carried columns of the newest counted run before).  `counted` is a
+    boolean column.
 
     Rows are range-partitioned by keys, time and id.  The id is unique, so
     even one project with one time is spread evenly.  A checkpoint fixes that
@@ -75,42 +77,48 @@ def along_time(runs: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> Da
     order = ["timestamp_utc", "run_id"]
     columns = list(dict.fromkeys([*keys, *order, *carry]))
     ranges = (
-        runs.select(*columns)
+        runs.select(*columns, F.col(counted).alias("_counted"))
         .repartitionByRange(*keys, *order)
         .withColumn("_range", F.spark_partition_id())
         .checkpoint()
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    facts = F.struct(*carry)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranges.withColumns(
         {
-            "_rank": F.row_number().over(inside),
-            "_before": F.lag(F.struct(*carry)).over(inside),
+            "_rank": F.coalesce(F.sum(F.col("_counted").cast("bigint")).over(inside), F.lit(0)),
+            "_before": F.last(F.when(F.col("_counted"), facts), ignorenulls=True).over(inside),
         }
     )
-    across = Window.partitionBy(*keys).orderBy("_range")
+    across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     borders = (
         ranges.groupBy(*keys, "_range")
-        .agg(F.count("*").alias("_runs"), F.max_by(F.struct(*carry), F.struct(*order)).alias("_last"))
+        .agg(
+            F.count_if("_counted").alias("_runs"),
+            F.max_by(facts, F.when(F.col("_counted"), F.struct(*order))).alias("_last"),
+        )
         .withColumns(
             {
-                "_offset": F.coalesce(
-                    F.sum("_runs").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-                ),
-                "_carried": F.lag("_last").over(across),
+                "_offset": F.coalesce(F.sum("_runs").over(across), F.lit(0)),
+                "_carried": F.last("_last", ignorenulls=True).over(across),
             }
         )
         .select(*keys, "_range", "_offset", "_carried")
     )
     return local.join(borders, [*keys, "_range"]).select(
         *columns,
-        (F.col("_offset") + F.col("_rank")).alias("scan_number"),
+        (F.col("_offset") + F.col("_rank") + 1).alias("scan_number"),
         F.coalesce("_before", "_carried").alias("previous"),
     )
 
 
+def _timed(runs: DataFrame, artifacts: DataFrame, carry: Sequence[str]) -> DataFrame:
+    return along_time(with_json(runs, artifacts), ["input_roots"], carry, "has_json")
+
+
 def prev_run(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The newest earlier run of the same roots whose JSON file exists."""
-    return along_time(with_json(runs, artifacts), ["input_roots"], ["run_id", "timestamp_utc"]).select(
+    """Of every run the newest earlier one of the same roots whose JSON exists."""
+    return _timed(runs, artifacts, ["run_id", "timestamp_utc"]).select(
         "run_id",
         "timestamp_utc",
         F.col("previous.run_id").alias("prev_run_id"),
@@ -118,23 +126,25 @@ def prev_run(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     )
 
 
-def scan_number(runs: DataFrame) -> DataFrame:
-    """How many scans of the same roots there were, this one included."""
-    return along_time(runs, ["input_roots"], ["run_id"]).select("run_id", "scan_number")
+def scan_number(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Place of every run among the scans of its roots whose JSON exists."""
+    return _timed(runs, artifacts, ["run_id"]).select("run_id", "scan_number")
 
 
-def run_change(runs: DataFrame) -> DataFrame:
-    """Change of the six totals against the run before; null for the first."""
-    return along_time(runs, ["input_roots"], TOTALS).select(
+def run_change(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The six totals of the run before and the change against them; null
+    without an earlier run whose JSON exists."""
+    return _timed(runs, artifacts, TOTALS).select(
         "run_id",
+        *[F.col(f"previous.{name}").alias(f"prev_{name}") for name in TOTALS],
         *[(F.col(name) - F.col(f"previous.{name}")).alias(f"{name}_change") for name in TOTALS],
     )
 
 
-def run_change_text(runs: DataFrame) -> DataFrame:
+def run_change_text(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Code-line change as shown: signed text and its sign class."""
     change = F.col("code_lines") - F.col("previous.code_lines")
-    return along_time(runs, ["input_roots"], TOTALS).select(
+    return _timed(runs, artifacts, TOTALS).select(
         "run_id",
         change_text(F.col("code_lines"), F.col("previous.code_lines")).alias("change"),
         delta_sign(change).alias("sign"),

@@ -1,7 +1,8 @@
 """Ignore files (.gitignore, .ignore) of one root.
 
-Directories are far fewer than files, so rules are gathered and applied per
-directory; files are only joined with the verdict table of their directory.
+The rules of a root are gathered into one array, which reaches the file scan as
+a scalar; every file is then judged in its own row, by the rules of the
+directories above it.  Nothing is joined or shuffled, contents least of all.
 """
 
 from __future__ import annotations
@@ -11,16 +12,18 @@ from pyspark.sql import functions as F
 
 from linescope.functions.paths import directories, file_name
 
+# Names of ignore files; rules of later ones outrank earlier ones.
 IGNORE_FILES = [".gitignore", ".ignore"]
 
 _LEADING, _INNER, _TRAILING = "\x01", "\x02", "\x03"
+_CLASS = r"\[(?:[!^]?\]?[^\]]*)\]"
 
 
 def ignore_texts(files: DataFrame) -> DataFrame:
-    """Ignore files of a file table as (dir, text)."""
+    """Ignore files of a file table as (dir, kind, text)."""
     rel = F.col("relative_path")
     return files.where(file_name(rel).isin(IGNORE_FILES)).select(
-        F.regexp_replace(rel, "/?[^/]*$", "").alias("dir"), F.col("content").cast("string").alias("text")
+        F.regexp_replace(rel, "/?[^/]*$", "").alias("dir"), file_name(rel).alias("kind"), F.col("content").cast("string").alias("text")
     )
 
 
@@ -37,16 +40,38 @@ def _regex(pattern: Column, anchored: Column) -> Column:
     return F.concat(F.when(anchored, r"\A").otherwise(r"\A(?:.*/)?"), body, F.lit(r"\z"))
 
 
-def parse_ignore_files(texts: DataFrame) -> DataFrame:
-    """Rules of ignore files (dir, text): dir, ord, regex, negate, dir_only."""
-    lines = texts.select("dir", F.posexplode(F.split("text", r"\r?\n")).alias("ord", "line"))
+def _malformed(pattern: Column) -> Column:
+    """A class that is not closed, a range that runs backwards, or a single
+    backslash at the end."""
+    plain = F.regexp_replace(pattern, r"\\.", "")
+    classes = F.regexp_extract_all(plain, F.lit(f"({_CLASS})"), 1)
+    backwards = F.exists(
+        F.flatten(F.transform(classes, lambda c: F.regexp_extract_all(c, F.lit(r"([^\[]-[^\]])"), 1))),
+        lambda r: F.ascii(F.substring(r, 1, 1)) > F.ascii(F.substring(r, 3, 1)),
+    )
+    return F.contains(F.regexp_replace(plain, _CLASS, ""), F.lit("[")) | backwards | F.endswith(plain, F.lit("\\"))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """Lines of ignore files that state a rule, parted into their marks."""
+    kind = F.col("kind") if "kind" in texts.columns else F.lit(IGNORE_FILES[0])
+    lines = texts.select("dir", kind.alias("kind"), F.posexplode(F.split("text", r"\r?\n")).alias("ord", "line"))
     kept = lines.withColumn("line", F.regexp_replace("line", r"(?<!\\) +$", "")).where(
         (F.col("line") != "") & ~F.startswith("line", F.lit("#"))
     )
     negate = F.startswith("line", F.lit("!"))
     pattern = F.when(negate, F.substring("line", 2, 2**31 - 1)).otherwise(F.col("line"))
-    split = kept.select("dir", "ord", negate.alias("negate"), pattern.alias("_p")).select(
+    rank = F.array_position(F.array(*[F.lit(name) for name in IGNORE_FILES]), F.col("kind"))
+    return kept.select("dir", rank.alias("rank"), "ord", "line", negate.alias("negate"), pattern.alias("_p"))
+
+
+def parse_ignore_files(texts: DataFrame) -> DataFrame:
+    """Rules of ignore files (dir, text and, when known, kind): dir, rank, ord,
+    regex, negate, dir_only.  Malformed lines state no rule; see
+    `malformed_lines`."""
+    split = _lines(texts).where(~_malformed(F.col("_p"))).select(
         "dir",
+        "rank",
         "ord",
         "negate",
         F.endswith("_p", F.lit("/")).alias("dir_only"),
@@ -54,71 +79,39 @@ def parse_ignore_files(texts: DataFrame) -> DataFrame:
     )
     anchored = F.contains("_p", F.lit("/"))
     return split.select(
-        "dir", "ord", _regex(F.regexp_replace("_p", "^/", ""), anchored).alias("regex"), "negate", "dir_only"
+        "dir", "rank", "ord", _regex(F.regexp_replace("_p", "^/", ""), anchored).alias("regex"), "negate", "dir_only"
     )
 
 
+def malformed_lines(texts: DataFrame) -> DataFrame:
+    """Lines that state no rule, as warnings: dir, ord, warning."""
+    bad = _lines(texts).where(_malformed(F.col("_p")))
+    return bad.select("dir", "ord", F.concat(F.lit("malformed ignore rule: "), "line").alias("warning"))
+
+
 def _ignored(rules: Column, path: Column, is_dir: bool) -> Column:
-    """Verdict of the last matching rule; null when none matches."""
+    """Verdict of the last matching rule above the path; null when none matches."""
     below = lambda rule: F.when(rule["dir"] == "", path).otherwise(
         F.substring(path, F.length(rule["dir"]) + 2, F.length(path))
     )
+    above = lambda rule: (rule["dir"] == "") | F.startswith(path, F.concat(rule["dir"], F.lit("/")))
     hits = F.filter(
-        rules, lambda rule: (F.lit(is_dir) | ~rule["dir_only"]) & F.rlike(below(rule), rule["regex"])
+        rules,
+        lambda rule: (F.lit(is_dir) | ~rule["dir_only"]) & above(rule) & F.rlike(below(rule), rule["regex"]),
     )
     return ~F.try_element_at(hits, F.lit(-1))["negate"]
 
 
-def directory_verdicts(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every directory with the rules in force in it and whether it is shut.
-
-    A directory is shut when it or a directory above it is ignored; nothing
-    below can be brought back.
-    """
-    rel = F.col("relative_path")
-    above = F.concat(F.array(F.lit("")), directories(rel))
-    folders = files.select(F.explode(above).alias("folder")).distinct()
-    lineage = folders.select(
-        "folder",
-        F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(
-            F.concat(F.array(F.lit("")), directories(F.col("folder")), F.array("folder"))
-        ).alias("lineage"),
-    )
-    rule = F.struct(F.length("dir").alias("depth"), "ord", "dir", "regex", "negate", "dir_only")
-    per_dir = rules.groupBy("dir").agg(F.collect_list(rule).alias("_rules"))
-    in_force = (
-        lineage.select("folder", F.explode("lineage").alias("dir"))
-        .join(per_dir, "dir")
-        .groupBy("folder")
-        .agg(F.array_sort(F.flatten(F.collect_list("_rules"))).alias("rules"))
-    )
-    # A directory is judged by the rules in force in its parent.
-    parent = F.element_at("lineage", -2)
-    judged = (
-        lineage.where(F.col("folder") != "")
-        .select("folder", parent.alias("_parent"))
-        .join(in_force.withColumnRenamed("folder", "_parent"), "_parent")
-        .where(_ignored(F.col("rules"), F.col("folder"), True))
-        .select(F.col("folder").alias("dir"))
-    )
-    shut = (
-        lineage.select("folder", F.explode("lineage").alias("dir"))
-        .join(judged, "dir", "left_semi")
-        .select("folder")
-        .distinct()
-        .withColumn("shut", F.lit(True))
-    )
-    return lineage.select("folder").join(in_force, "folder", "left").join(shut, "folder", "left")
-
-
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files no ignore rule excludes.
 
-    The join is by directory; Spark splits a directory that holds very many
-    files at run time.
+    Rules count by kind of their file, then depth, then line; the last match
+    decides.  A directory that is ignored hides all below it; nothing below can
+    be brought back.
     """
     rel = F.col("relative_path")
-    verdicts = directory_verdicts(files, rules)
-    joined = files.withColumn("folder", F.regexp_replace(rel, "/?[^/]*$", "")).join(verdicts, "folder", "left")
-    kept = F.col("shut").isNull() & ~F.coalesce(_ignored(F.col("rules"), rel, False), F.lit(False))
-    return joined.where(kept).select(*files.columns)
+    rule = F.struct("rank", F.length("dir").alias("depth"), "ord", "dir", "regex", "negate", "dir_only")
+    every = F.coalesce(rules.agg(F.array_sort(F.collect_list(rule))).scalar(), F.array())
+    hidden = F.exists(directories(rel), lambda d: F.coalesce(_ignored(F.col("_rules"), d, True), F.lit(False)))
+    judged = files.withColumn("_rules", every)
+    return judged.where(~hidden & ~F.coalesce(_ignored(F.col("_rules"), rel, False), F.lit(False))).select(*files.columns)

@@ -52,30 +52,34 @@ def is_lockfile(path: Column) -> Column:
     return file_name(path).isin(LOCKFILES)
 
 
-def _sample(content: Column, size: int) -> Column:
-    return F.make_valid_utf8(F.substring(content, 1, size).cast("string"))
+def _head(content: Column, size: int | None) -> Column:
+    """The first bytes of a file, or all of it."""
+    return content if size is None else F.substring(content, 1, size)
 
 
-def looks_generated(path: Column, content: Column) -> Column:
-    head = F.lower(_sample(content, 1024))
+def _sample(content: Column, size: int | None) -> Column:
+    return F.make_valid_utf8(_head(content, size).cast("string"))
+
+
+def looks_generated(path: Column, content: Column, sample_bytes: int | None = 1024) -> Column:
+    head = F.lower(_sample(content, sample_bytes))
     return F.rlike(file_name(path), F.lit(r"\.generated\.|\.g\.")) | F.rlike(
         head, F.lit("@generated|generated by")
     )
 
 
-def looks_minified(path: Column, content: Column) -> Column:
-    """Named so, or a sample with a very long line and hardly any blanks."""
-    head = _sample(content, 4096)
+def looks_minified(path: Column, content: Column, sample_bytes: int | None = 4096) -> Column:
+    """Named so, or a sample with a very long line and hardly any blanks.  An
+    invalid byte counts as the three of its replacement."""
+    head = _sample(content, sample_bytes)
     longest = F.array_max(F.transform(F.split(head, r"\r?\n"), F.octet_length))
     blanks = F.length(head) - F.length(F.regexp_replace(head, rf"[\r\n{BLANKS}]", ""))
     dense = blanks * 100 < F.octet_length(head)
-    return F.contains(file_name(path), F.lit(".min.")) | F.when(
-        F.octet_length(content) > 2000, (longest > 2000) & dense
-    ).otherwise(False)
+    return F.contains(file_name(path), F.lit(".min.")) | F.coalesce((longest > 2000) & dense, F.lit(False))
 
 
-def is_binary(content: Column) -> Column:
-    return ~decode.has_bom(content) & F.contains(F.substring(content, 1, 8192), F.lit(b"\x00"))
+def is_binary(content: Column, sample_bytes: int | None = 8192) -> Column:
+    return ~decode.has_bom(content) & F.contains(_head(content, sample_bytes), F.lit(b"\x00"))
 
 
 def visible(files: DataFrame) -> DataFrame:
@@ -136,9 +140,9 @@ def content_rules(files: DataFrame, settings: Settings) -> DataFrame:
     by_bytes = (
         F.when(content.isNull(), "read_error")
         .when(is_vendor(path) & F.lit(analysis.vendor_directory_detection), "vendor")
-        .when(F.lit(analysis.generated_file_detection) & looks_generated(path, content), "generated")
-        .when(F.lit(analysis.minified_file_detection) & looks_minified(path, content), "minified")
-        .when(is_binary(content), _stop("binary", analysis.binary_file_behavior, "binary file encountered: "))
+        .when(F.lit(analysis.generated_file_detection) & looks_generated(path, content, analysis.generated_sample_bytes), "generated")
+        .when(F.lit(analysis.minified_file_detection) & looks_minified(path, content, analysis.minified_sample_bytes), "minified")
+        .when(is_binary(content, analysis.binary_sample_bytes), _stop("binary", analysis.binary_file_behavior, "binary file encountered: "))
     )
     decoded = (
         files.withColumn("rule", F.when(open_, by_bytes).otherwise(F.col("rule")))

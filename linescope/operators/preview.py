@@ -30,12 +30,10 @@ PREVIEW_LANGUAGES = {
     "PowerShell": ".ps1 .psm1 .psd1",
 }
 SKIPPED_ENDINGS = ".min.js .lock .png .jpg .jpeg .gif .zip .pdf .pyc .xz .tar .gz"
+# Extensions called archives, and directories never opened.
 ARCHIVE_EXTENSIONS = "png jpg jpeg gif zip pdf xz gz tar pyc"
 CLOSED_DIRECTORIES = [".git", "node_modules", "target"]
 
-MAX_DEPTH = 9
-MAX_ROWS = 600
-
 
 def _ends(name: Column, endings: str) -> Column:
     hit = F.lit(False)
@@ -93,16 +91,12 @@ def preview_entries(files: DataFrame, include: list[str] = (), exclude: list[str
     return listed.unionByName(shown)
 
 
-def preview_tree(files: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
-    """Tree rows in display order, at most MAX_ROWS of them.
-
-    Sorting by the lower-cased path parts puts every directory right in front
-    of its children, which is the order of a depth-first listing.
-    """
+def preview_rows(files: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """Every preview entry with its labels, in no order."""
     rel = F.col("relative_path")
     parts = F.split(rel, "/")
     name = file_name(rel)
-    rows = preview_entries(files, include, exclude).select(
+    return preview_entries(files, include, exclude).select(
         "relative_path",
         F.when(F.contains(rel, F.lit("/")), F.regexp_replace(rel, "/[^/]*$", "")).alias("parent"),
         F.size(parts).alias("depth"),
@@ -112,12 +106,32 @@ def preview_tree(files: DataFrame, include: list[str] = (), exclude: list[str] =
         F.when(~F.col("is_dir"), preview_language(name)).alias("language"),
         F.when(F.col("is_dir"), "Directory").otherwise(type_label(name)).alias("type_label"),
     )
-    order = F.transform(F.split(F.col("relative_path"), "/"), ascii_lower)
-    return rows.where(F.col("depth") <= MAX_DEPTH).orderBy(order, "relative_path").limit(MAX_ROWS)
+
+
+def preview_tree(
+    files: DataFrame,
+    include: list[str] = (),
+    exclude: list[str] = (),
+    max_depth: int | None = None,
+    max_rows: int | None = None,
+) -> DataFrame:
+    """Tree rows in display order; a page that shows part of the tree passes
+    its own limits.
+
+    Sorting by the path parts, each lower-cased and then as it is, puts every
+    directory right in front of its children, as a depth-first listing does.
+    """
+    rows = preview_rows(files, include, exclude)
+    if max_depth is not None:
+        rows = rows.where(F.col("depth") <= max_depth)
+    order = F.transform(F.split("relative_path", "/"), lambda part: F.struct(ascii_lower(part).alias("low"), part.alias("part")))
+    rows = rows.orderBy(order)
+    return rows if max_rows is None else rows.limit(max_rows)
 
 
 def preview_stats(rows: DataFrame) -> DataFrame:
-    """Counts over preview rows and the languages among them (at most six)."""
+    """Counts over all preview rows (`preview_rows`) and the languages among
+    them (at most six)."""
     return rows.agg(
         F.count_if("is_dir").alias("directories"),
         F.count_if(~F.col("is_dir")).alias("files"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linescope.operators.languages import enum_order
+from linescope.operators.warnings import numbered
 
 ANALYZED = ["analyzed_exact", "analyzed_best_effort"]
 
@@ -131,6 +132,12 @@ def quality_gate(records: DataFrame, fail_on_warnings: bool = False, fail_below:
     return values.select(F.inline(rows))
 
 
+def sort_files(records: DataFrame) -> DataFrame:
+    """Records in report order with their `number`, from 1.  Pass saved records:
+    sorting reads them twice."""
+    return numbered(records, "relative_path", "path")
+
+
 def file_row_view(records: DataFrame) -> DataFrame:
     """File records as the report shows them."""
     shown = F.replace(F.initcap(F.replace(F.col("status"), F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))

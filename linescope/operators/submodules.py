@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linescope.functions.joins import broadcast_if, is_small
 from linescope.operators.classify import BLANKS, normalized_newlines
 
 _SPACE = rf"[{BLANKS}\r]*"
@@ -53,9 +52,9 @@ def tag_submodule(records: DataFrame, submodules: DataFrame, *keys: str) -> Data
     `keys` (at least one) name the repository or run a submodule belongs to.
     The definitions of one repository are gathered into one array (a
     .gitmodules file bounds it), so each file meets at most one row and is
-    neither multiplied nor grouped again.  All files of a run share one key, so
-    definitions are broadcast when a count shows that they are few; otherwise
-    Spark splits the hot keys of the left side.
+    neither multiplied nor grouped again.  All files of a run share one key:
+    Spark broadcasts definitions below its byte threshold and otherwise splits
+    the hot keys of the left side.
     """
     entry = F.struct("ord", "name", F.replace("path", F.lit("\\"), F.lit("/")).alias("path"))
     lists = submodules.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_submodules"))
@@ -65,7 +64,7 @@ def tag_submodule(records: DataFrame, submodules: DataFrame, *keys: str) -> Data
         lambda s: (rel == s["path"]) | F.startswith(rel, F.concat(s["path"], F.lit("/"))),
     )
     return (
-        records.join(broadcast_if(is_small(submodules), lists), list(keys), "left")
+        records.join(lists, list(keys), "left")
         .withColumn("submodule", F.try_element_at(holders, F.lit(1))["name"])
         .drop("_submodules")
     )

@@ -66,6 +66,11 @@ def run_warnings(records: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def discovery_warnings(errors: DataFrame) -> DataFrame:
+    """Warnings of a walk's errors (path, error), shaped like `run_warnings`."""
+    return errors.select("path", F.col("path").alias("relative_path"), F.concat_ws(": ", F.lit("discovery warning"), "error").alias("warning"))
+
+
 def _first_match(rules: list[tuple[Column, str]], default: Column | str) -> Column:
     found = default if isinstance(default, Column) else F.lit(default)
     for hit, label in reversed(rules):
@@ -167,11 +172,10 @@ def warning_preview(warnings: DataFrame, limit: int = 12) -> DataFrame:
     """The first warnings, numbered, with the total and whether more exist."""
     order = ("relative_path", "warning", "path")
     shown = warnings.orderBy(*order).limit(limit)
-    number = F.row_number().over(Window.orderBy(*order))
-    total = warnings.agg(F.count("*").alias("total"))
+    number = F.row_number().over(Window.orderBy(*order))  # of at most `limit` rows
+    total = warnings.agg(F.count("*")).scalar()
     return (
         shown.select(number.alias("number"), "warning")
-        .select("number", F.format_string("[%03d] %s", "number", "warning").alias("line"), F.lit(1).alias("_one"))
-        .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-        .select("number", "line", "total", (F.col("total") > limit).alias("truncated"))
+        .select("number", F.format_string("[%03d] %s", "number", "warning").alias("line"), total.alias("total"))
+        .withColumn("truncated", F.col("total") > limit)
     )

@@ -53,3 +53,16 @@ RUN_JSON = (
     f"language_summaries:array<{LANGUAGE_ROW}>>>, "
     "git_commit_short string, git_commit_long string, git_branch string, git_commit_author string, git_tags string"
 )
+
+#: One row of the `files` table of a saved run.
+FILE_ROW = (
+    "path string, relative_path string, language string, size_bytes bigint, detected_encoding string, "
+    f"raw_line_categories {RAW}, effective_counts {EFFECTIVE}, status string, warnings array<string>, "
+    "generated boolean, minified boolean, vendor boolean, parse_mode string, submodule string"
+)
+
+#: The one row of the `run` table of a saved run.
+RUN_DOCUMENT = (
+    ", ".join(part for part in RUN_JSON.split(", ") if not part.startswith(("per_file_records", "skipped_file_records", "warnings")))
+    + ", effective_configuration string"
+)

@@ -20,12 +20,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only when the session names none (tests on one machine) a temporary folder
-    is used.
+    A session on one machine that names none (tests) gets a temporary folder;
+    on any other master that is an error.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="linescope-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -40,6 +42,9 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="linescope-"))
+        # The test tables are single small files: deal their rows to all cores.
+        .config("spark.linescope.inputPartitions", cores)
         # Stack traces per column call cost more than building the plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from linescope.operators.languages import resolve_name
 
+# The accepted words of three settings.
 MIXED_LINE_POLICIES = ("code_only", "code_and_comment", "comment_only", "separate_mixed_category")
 BINARY_BEHAVIORS = ("skip", "fail")
 FAILURE_BEHAVIORS = ("warn_skip", "fail")
@@ -47,6 +48,10 @@ class Analysis:
     binary_file_behavior: str = "skip"
     decode_failure_behavior: str = "warn_skip"
     parse_failure_behavior: str = "warn_skip"  # accepted, never consulted
+    # Leading bytes the content tests look at; None is the whole content.
+    generated_sample_bytes: int | None = 1024
+    minified_sample_bytes: int | None = 4096
+    binary_sample_bytes: int | None = 8192
 
 
 @dataclass(frozen=True)
@@ -67,7 +72,7 @@ class Settings:
 
     def __post_init__(self) -> None:
         if self.discovery.max_file_size_bytes <= 0:
-            raise ValueError("discovery.max_file_size_bytes must be greater than zero")
+            raise ValueError("the size limit of a file must be positive")
         for value, domain in (
             (self.analysis.mixed_line_policy, MIXED_LINE_POLICIES),
             (self.analysis.binary_file_behavior, BINARY_BEHAVIORS),
@@ -83,7 +88,7 @@ class Settings:
         names = [(name, resolve_name(name)) for name in self.analysis.enabled_languages]
         unknown = [name for name, language in names if language is None]
         if unknown:
-            raise ValueError(f"unsupported language in config: {unknown[0]}")
+            raise ValueError(f"no such language: {unknown[0]}")
         return sorted({language for _, language in names}) or None
 
     def extension_languages(self) -> dict[str, str]:
@@ -103,10 +108,11 @@ class Settings:
 
     def excluding_output(self, project_root: str, output_dir: str) -> Settings:
         """Keep results of earlier runs out of the counts: the output folder
-        inside the project, and every folder named sloc, become excluded."""
+        inside the project, and every folder of a fixed name, become excluded."""
         names = list(self.discovery.excluded_directories)
         root = project_root.rstrip("/") + "/"
         inside = output_dir[len(root):].split("/")[0] if output_dir.startswith(root) else ""
+        # Fixed value: the customary name of an output folder.
         names += [name for name in (inside, "sloc") if name and name not in names]
         return self.updated(discovery={"excluded_directories": tuple(names)})
 

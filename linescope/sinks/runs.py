@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 
 from linescope.functions.text import utc_time_text
 from linescope.operators.languages import json_name
-from linescope.operators.rollup import analyzed, language_totals, run_totals, skipped
+from linescope.operators.rollup import (
+    analyzed,
+    language_totals,
+    run_totals,
+    skipped,
+    submodule_language_totals,
+    submodule_totals,
+)
 from linescope.operators.delta import sort_deltas, status_counts
 
 
@@ -97,12 +104,16 @@ def write_skipped_table(records: DataFrame, path: str) -> None:
     write_table(skipped_table(records), path)
 
 
+def _with_counts(summary: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The one-row summary with the status counts beside it."""
+    counts = status_counts(deltas)
+    row = counts.select(F.struct(*counts.columns)).scalar()
+    return summary.withColumn("_counts", row).select(*summary.columns, "_counts.*")
+
+
 def diff_summary_table(summary: DataFrame, deltas: DataFrame) -> DataFrame:
-    joined = summary.withColumn("_one", F.lit(1)).join(
-        F.broadcast(status_counts(deltas).withColumn("_one", F.lit(1))), "_one"
-    )
     return metric_rows(
-        joined,
+        _with_counts(summary, deltas),
         {
             "Baseline Run": F.col("baseline_run_id"),
             "Current Run": F.col("current_run_id"),
@@ -138,18 +149,33 @@ def write_diff_csv(summary: DataFrame, deltas: DataFrame, path: str) -> None:
 
 def write_diff_json(summary: DataFrame, deltas: DataFrame, path: str) -> None:
     """Summary with status counts, and one JSON row per file."""
-    joined = summary.withColumn("_one", F.lit(1)).join(
-        F.broadcast(status_counts(deltas).withColumn("_one", F.lit(1))), "_one"
-    ).drop("_one")
-    joined.write.mode("overwrite").json(f"{path}/summary", ignoreNullFields=False)
+    _with_counts(summary, deltas).write.mode("overwrite").json(f"{path}/summary", ignoreNullFields=False)
     sort_deltas(deltas).write.mode("overwrite").json(f"{path}/file_deltas", ignoreNullFields=False)
 
 
-def write_run_tables(records: DataFrame, path: str) -> None:
-    """File records and totals as parquet, by run."""
-    records.write.mode("append").partitionBy("run_id").parquet(f"{path}/file_records")
-    language_totals(records, "run_id").write.mode("append").partitionBy("run_id").parquet(f"{path}/language_totals")
-    run_totals(records, "run_id").write.mode("append").parquet(f"{path}/run_totals")
+def save_records(records: DataFrame, path: str) -> DataFrame:
+    """Write file records by run and return them as saved.
+
+    Analysis is the costly step: every sort, list and export that follows
+    should start from what this returns.  A run that is saved again replaces
+    its rows.
+    """
+    spark = records.sparkSession
+    _by_run(records, f"{path}/file_records")
+    return spark.read.schema(records.schema).parquet(f"{path}/file_records").select(*records.columns)
+
+
+def _by_run(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def write_run_tables(records: DataFrame, path: str) -> DataFrame:
+    """File records and totals as parquet, by run; returns the saved records.
+    A run that is saved again replaces its rows in all three tables."""
+    saved = save_records(records, path)
+    _by_run(language_totals(saved, "run_id"), f"{path}/language_totals")
+    _by_run(run_totals(saved, "run_id"), f"{path}/run_totals")
+    return saved
 
 
 def file_json() -> Column:
@@ -187,6 +213,58 @@ def write_run_json(records: DataFrame, path: str) -> None:
     ).json(f"{path}/totals_by_language")
 
 
+def write_run_document(
+    records: DataFrame,
+    run: DataFrame,
+    path: str,
+    submodules: DataFrame | None = None,
+    warnings: DataFrame | None = None,
+    version: str = "",
+    environment: dict[str, str] | None = None,
+) -> None:
+    """A saved run as tables: `run`, one row with all run-level fields; `files`,
+    one row per file; `warnings`, one row each.
+
+    `records` should be saved ones, of this run only; `run` is its history row.
+    Languages and submodules are bounded and nested into the run's row; files
+    and warnings are not bounded and stay rows.  `submodules` (ord, name, path)
+    are the definitions the records were tagged with.
+    """
+    env = environment or {}
+    fields = ("operating_system", "architecture", "runtime_mode", "initiator_username", "initiator_hostname")
+    totals = run_totals(records)
+    languages = language_totals(records).withColumn("language", json_name(F.col("language")))
+    shown = [name for name in languages.columns if name != "enum_order"]
+    rows = F.array_sort(F.collect_list(F.struct("enum_order", *shown)))
+    by_language = languages.agg(F.transform(rows, lambda r: r.dropFields("enum_order"))).scalar()
+    document = run.select(
+        F.struct(F.lit("linescope").alias("name"), F.lit(version).alias("version"), "run_id", "timestamp_utc").alias("tool"),
+        F.struct(*[F.lit(env.get(name)).cast("string").alias(name) for name in fields]).alias("environment"),
+        F.col("settings_json").alias("effective_configuration"),
+        "input_roots",
+        totals.select(F.struct(*totals.columns)).scalar().alias("summary_totals"),
+        by_language.alias("totals_by_language"),
+        F.col("git_commit").alias("git_commit_long"),
+        F.substring("git_commit", 1, 7).alias("git_commit_short"),
+        "git_branch",
+        F.col("git_author").alias("git_commit_author"),
+        "git_tags",
+    )
+    if submodules is not None:
+        inner = submodule_language_totals(records).withColumn("language", json_name(F.col("language")))
+        nested = inner.groupBy("submodule").agg(
+            F.array_sort(F.collect_list(F.struct(*[name for name in inner.columns if name != "submodule"]))).alias("language_summaries")
+        )
+        outer = submodule_totals(records, submodules).join(nested, "submodule")
+        row = F.struct("ord", F.col("submodule").alias("name"), *[name for name in outer.columns if name not in ("submodule", "ord")])
+        summaries = outer.agg(F.array_sort(F.collect_list(row)).alias("s")).select(F.transform("s", lambda r: r.dropFields("ord"))).scalar()
+        document = document.withColumn("submodule_summaries", summaries)
+    document.write.mode("overwrite").json(f"{path}/run", ignoreNullFields=False)
+    records.select(file_json().alias("file")).select("file.*").write.mode("overwrite").json(f"{path}/files")
+    if warnings is not None:
+        warnings.select("path", "relative_path", "warning").write.mode("overwrite").json(f"{path}/warnings")
+
+
 def trend_summary(records: DataFrame, *keys: str) -> DataFrame:
     return run_totals(records, *keys).select(*keys, "code_lines", "comment_lines", "blank_lines", "files_analyzed")
 

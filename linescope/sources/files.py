@@ -13,15 +13,13 @@ from linescope.functions.paths import file_name, is_below, is_hidden, relative_p
 _READ_BYTES = 32 * 1024 * 1024
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than cores.
+def spread(rows: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal rows to `partitions` tasks; None leaves the scan as it is.
 
-    Classification is bound by CPU, and one small file would be one task.  An
-    input with more splits than cores is left alone, so nothing is shuffled at
-    scale.  Meant for plain scans, whose splits are known without running them.
+    Classification is bound by CPU, and a small file of one row group is one
+    task however many cores there are.  Only the caller knows that.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows if partitions is None else rows.repartition(partitions)
 
 
 def from_table(corpus: DataFrame, root: str | Column, *keep: str) -> DataFrame:
@@ -67,16 +65,23 @@ def scan_single_file(corpus: DataFrame, path: str) -> DataFrame:
 def _list_folders(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     import os
 
+    def entry(e: os.DirEntry) -> tuple:
+        try:
+            if e.is_symlink() and e.is_dir():
+                inside = (os.path.realpath(os.path.dirname(e.path)) + "/").startswith(os.path.realpath(e.path).rstrip("/") + "/")
+                return e.path, True, True, 0, "link to a folder above it" if inside else None
+            return e.path, e.is_dir(follow_symlinks=False), e.is_symlink(), e.stat(follow_symlinks=False).st_size, None
+        except OSError as error:
+            return e.path, False, False, None, str(error)
+
     for batch in batches:
         for folder in batch["path"]:
             try:
-                entries = [
-                    (e.path, e.is_dir(follow_symlinks=False), e.is_symlink(), e.stat(follow_symlinks=False).st_size)
-                    for e in os.scandir(folder)
-                ]
-            except OSError:
-                continue
-            yield pd.DataFrame(entries, columns=["path", "is_dir", "is_symlink", "size_bytes"])
+                entries = [entry(e) for e in os.scandir(folder)]
+            except OSError as error:
+                entries = [(folder, False, False, None, str(error))]
+            rows = pd.DataFrame(entries, columns=["path", "is_dir", "is_symlink", "size_bytes", "error"])
+            yield rows.astype({"size_bytes": "Int64"})
 
 
 def _read_bytes(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -94,20 +99,23 @@ def _read_bytes(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
             yield part.assign(content=[content(path) for path in part["path"]])
 
 
-def scan_directory(
-    spark: SparkSession, root: str, max_file_size_bytes: int, ignore_hidden_files: bool = True
+def list_directory(
+    spark: SparkSession, root: str, ignore_hidden_files: bool = True, follow_symlinks: bool = False
 ) -> DataFrame:
-    """Files below a directory that every executor can open, any name.
+    """Entries below a directory that every executor can open: path, is_dir,
+    is_symlink, size_bytes, error.
 
     Folders are listed level by level as a DataFrame, so no task owns a whole
     subtree; each level is checkpointed before the next one starts from it.
-    Only files within the size limit are opened.
+    What cannot be listed is a row with its error.  Links to folders are only
+    entered with `follow_symlinks`; one that leads to a folder above itself is
+    an error then.
     """
     from linescope.session import checkpoint_dir
 
     checkpoint_dir(spark)
     parallel = spark.sparkContext.defaultParallelism
-    shape = "path string, is_dir boolean, is_symlink boolean, size_bytes bigint"
+    shape = "path string, is_dir boolean, is_symlink boolean, size_bytes bigint, error string"
     folders = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
     levels = []
     while True:
@@ -115,13 +123,35 @@ def scan_directory(
         if ignore_hidden_files:
             level = level.where(~F.startswith(file_name(F.col("path")), F.lit(".")))
         level = level.checkpoint()
-        levels.append(level.where(~F.col("is_dir")))
-        folders = level.where("is_dir").select("path").repartition(parallel)
+        levels.append(level)
+        enter = F.col("is_dir") & (~F.col("is_symlink") | (F.lit(follow_symlinks) & F.col("error").isNull()))
+        folders = level.where(enter).select("path").repartition(parallel)
         if folders.isEmpty():
             break
     listing = levels[0]
     for level in levels[1:]:
         listing = listing.unionByName(level)
+    return listing
+
+
+def scan_directory(
+    spark: SparkSession,
+    root: str,
+    max_file_size_bytes: int,
+    ignore_hidden_files: bool = True,
+    follow_symlinks: bool = False,
+    listing: DataFrame | None = None,
+) -> DataFrame:
+    """Files below a directory that every executor can open, any name.  A link
+    to a folder is no file.
+
+    Only files within the size limit are opened.  `listing` is what
+    `list_directory` found, when the caller wants its errors too
+    (`walk_errors`).
+    """
+    parallel = spark.sparkContext.defaultParallelism
+    listing = list_directory(spark, root, ignore_hidden_files, follow_symlinks) if listing is None else listing
+    listing = listing.where(~F.col("is_dir") & F.col("error").isNull())
     small = F.col("size_bytes") <= max_file_size_bytes
     opened = (
         listing.where(small)
@@ -135,6 +165,11 @@ def scan_directory(
     return from_table(opened.unionByName(unopened), root)
 
 
+def walk_errors(listing: DataFrame) -> DataFrame:
+    """Entries the walk could not list or enter: path and error."""
+    return listing.where(F.col("error").isNotNull()).select("path", "error")
+
+
 def union_roots(parts: list[DataFrame]) -> DataFrame:
     """Files of several roots together, with the place of their root."""
     tagged = [part.withColumn("root_ord", F.lit(n)) for n, part in enumerate(parts)]
@@ -144,17 +179,24 @@ def union_roots(parts: list[DataFrame]) -> DataFrame:
     return union
 
 
-def dedupe_paths(files: DataFrame, roots: list[str], ignore_hidden_files: bool = False) -> DataFrame:
-    """Keep a path reached from several roots once, under the first root.
+def dedupe_paths(
+    files: DataFrame, roots: list[str], ignore_hidden_files: bool = False, file_roots: Iterable[int] = ()
+) -> DataFrame:
+    """Keep a path reached from several directory roots once, under the first.
 
-    Whether an earlier root reaches a path follows from the path itself, so
-    the content is neither shuffled nor compared.
+    Roots at the places `file_roots` are files: each keeps its record, and none
+    takes a path from a directory.  Whether an earlier root reaches a path
+    follows from the path itself, so the content is neither shuffled nor
+    compared.
     """
     path = F.col("path")
+    single = set(file_roots)
     first = F.lit(None).cast("int")
     for n, root in reversed(list(enumerate(roots))):
+        if n in single:
+            continue
         reached = is_below(path, F.lit(root))
         if ignore_hidden_files:
             reached = reached & ~is_hidden(relative_path(path, F.lit(root)))
         first = F.when(reached, n).otherwise(first)
-    return files.where(F.col("root_ord") == first)
+    return files.where((F.col("root_ord") == first) | F.col("root_ord").isin(sorted(single)))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linescope.operators.languages import enum_order, from_json_name
-from linescope.schemas import RUN_JSON, RUNS
+from linescope.schemas import FILE_ROW, RUN_DOCUMENT, RUN_JSON, RUNS
 
 
 def read_run_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -42,6 +41,31 @@ def run_files(runs: DataFrame) -> DataFrame:
     )
 
 
+def read_run_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A run saved as tables: its row in the shape of RUN_DOCUMENT, and its file
+    records."""
+    run = spark.read.schema(RUN_DOCUMENT).json(f"{path}/run")
+    files = spark.read.schema(FILE_ROW).json(f"{path}/files")
+    records = files.select(
+        run.select("tool.run_id").scalar().alias("run_id"),
+        "path",
+        "relative_path",
+        from_json_name(F.col("language")).alias("language"),
+        "size_bytes",
+        "detected_encoding",
+        F.col("raw_line_categories").alias("raw"),
+        F.col("effective_counts").alias("effective"),
+        "status",
+        "warnings",
+        "generated",
+        "minified",
+        "vendor",
+        "parse_mode",
+        "submodule",
+    )
+    return run, records
+
+
 def run_languages(runs: DataFrame) -> DataFrame:
     """Language totals of saved runs."""
     return (
@@ -53,8 +77,9 @@ def run_languages(runs: DataFrame) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The run history; a missing or unreadable one is empty."""
-    try:
-        return spark.read.schema(RUNS).parquet(path)
-    except AnalysisException:
+    """The run history; empty when nothing was saved at `path`."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], RUNS)
+    return spark.read.schema(RUNS).parquet(path)

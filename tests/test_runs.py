@@ -102,14 +102,19 @@ def test_sliced_history_matches_a_plain_walk(spark):
     rows = [(f"r{n:04d}", rnd.choice([rnd.randint(0, 50), rnd.randint(0, 5000)]),
              rnd.choice(["hot", "hot", "hot", "b", "c"]), rnd.randint(0, 99), None) for n in range(600)]
     runs = history_frame(spark, rows)
-    numbers = {r.run_id: r.scan_number for r in history.scan_number(runs).collect()}
-    changes = {r.run_id: r.code_lines_change for r in history.run_change(runs).collect()}
+    gone = {run for run, *_ in rows if rnd.random() < 0.3}  # runs whose JSON was deleted
+    here = spark.createDataFrame([(f"/out/{run}/result.json",) for run, *_ in rows if run not in gone], "path string")
+    numbers = {r.run_id: r.scan_number for r in history.scan_number(runs, here).collect()}
+    changes = {r.run_id: (r.prev_code_lines, r.code_lines_change) for r in history.run_change(runs, here).collect()}
+    earlier = {r.run_id: r.prev_run_id for r in history.prev_run(runs, here).collect()}
     seen = {}
     for run, _, root, n, _ in sorted(rows, key=lambda r: (r[1], r[0])):
         before = seen.setdefault(root, [])
         assert numbers[run] == len(before) + 1
-        assert changes[run] == (n - before[-1] if before else None)
-        before.append(n)
+        assert changes[run] == ((before[-1][1], n - before[-1][1]) if before else (None, None))
+        assert earlier[run] == (before[-1][0] if before else None)
+        if run not in gone:
+            before.append((run, n))
 
 
 def test_history_operators(spark):
@@ -118,7 +123,9 @@ def test_history_operators(spark):
     here = spark.createDataFrame([("/out/20240101-0000-a/result.json",), ("/out/20240101-0200-c/result.json",),
                                   ("/o/report.pdf",)], "path string")
     assert {r.run_id[-1] for r in history.prune_stale(runs, here).collect()} == {"a", "c"}
-    assert {r.run_id[-1]: r.prev_run_id for r in history.prev_run(runs, here).collect()} == {"a": None, "c": None}
+    assert {r.run_id[-1]: r.prev_run_id for r in history.prev_run(runs, here).collect()} == {
+        "a": None, "b": "20240101-0000-a", "c": None,
+    }
     pdf = {r.run_id[-1]: r.pdf_path for r in history.artifact_lookup(runs, here).collect()}
     assert pdf == {"a": None, "b": "/o/report.pdf", "c": None}
     assert history.run_metrics(runs).first().run_id.endswith("c")
@@ -151,7 +158,12 @@ def test_preview_tree(spark):
                                "relative_path string")
     rows = preview.preview_tree(df, exclude=["skip/*"]).collect()
     assert [r["name"] for r in rows] == [".git/", "A/", "y.md", "a.c", "b/", "x.py", "n/", "node_modules/"]
-    stats = preview.preview_stats(preview.preview_tree(df)).first()
+    assert [r["name"] for r in preview.preview_tree(df, exclude=["skip/*"], max_depth=1, max_rows=3).collect()] == [
+        ".git/", "A/", "a.c",
+    ]
+    mixed = spark.createDataFrame([(p,) for p in ("A/c.c", "a/b.c", "A/x.c")], "relative_path string")
+    assert [r.relative_path for r in preview.preview_tree(mixed).collect()] == ["A", "A/c.c", "A/x.c", "a", "a/b.c"]
+    stats = preview.preview_stats(preview.preview_rows(df)).first()
     assert (stats.directories, stats.supported, stats.unsupported, stats.languages) == (6, 3, 1, "C,Python")
 
 

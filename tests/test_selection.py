@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 from linescope.functions import paths as P
 from linescope.operators import decode, ignore
 from linescope.operators.detect import detect_language
+from linescope.operators.warnings import discovery_warnings
 from linescope.plans.analyze import analyze_files
 from linescope.settings import PRESETS, Settings, parse_settings
-from linescope.sources.files import dedupe_paths, from_table, scan_directory, scan_files, scan_single_file, union_roots
+from linescope.sources.files import (
+    dedupe_paths,
+    from_table,
+    list_directory,
+    scan_directory,
+    scan_files,
+    scan_single_file,
+    union_roots,
+    walk_errors,
+)
 
 BOM = b"\xef\xbb\xbf"
 
@@ -159,7 +169,7 @@ def test_globs(glob, yes, no):
 
 
 def test_invalid_globs():
-    for glob in ("a[b", "{a"):
+    for glob in ("a[b", "{a", "[z-a].c"):
         with pytest.raises(ValueError):
             P.glob_regex(glob)
 
@@ -179,6 +189,51 @@ def test_ignore_rules(spark):
     }
 
 
+def test_ignore_kinds_and_malformed_lines(spark):
+    df = spark.createDataFrame([("keep.log",), ("a.log",), ("x.c",), ("d/keep.log",)], "relative_path string")
+    texts = spark.createDataFrame(
+        [("", ".gitignore", "\n\n*.log\nfoo[abc\n[z-a].c\nend\\"), ("", ".ignore", "!keep.log")], "dir string, kind string, text string"
+    )
+    rules = ignore.parse_ignore_files(texts)
+    assert {r.relative_path for r in ignore.apply_ignore_rules(df, rules).collect()} == {"keep.log", "x.c", "d/keep.log"}
+    assert sorted(r.ord for r in ignore.malformed_lines(texts).collect()) == [3, 4, 5]
+
+
+def test_ignore_rules_move_no_content(spark):
+    table = files(spark, [("/w/.gitignore", b"*.c\n"), ("/w/a.c", b"x"), ("/w/b.py", b"x")])
+    kept = ignore.apply_ignore_rules(table, ignore.parse_ignore_files(ignore.ignore_texts(table)))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_minified_by_invalid_bytes(spark):
+    got = analyze(spark, [("/w/e.c", b"\xe0" * 900), ("/w/f.c", b"\xe0" * 600), ("/w/g.c", b"x" * 2001), ("/w/h.c", b"x" * 2000)])
+    assert {name: row.warnings == ["minified file skipped by policy"] for name, row in got.items()} == {
+        "e.c": True, "f.c": False, "g.c": True, "h.c": False,
+    }
+    whole = Settings().updated(analysis={"minified_sample_bytes": None, "generated_sample_bytes": None, "binary_sample_bytes": None})
+    late = [("/w/a.c", b"a b\n" * 2000 + b"y" * 900000), ("/w/b.c", b"a b\n" * 3000 + b"\0"), ("/w/c.c", b"a b\n" * 400 + b"@generated")]
+    assert [analyze(spark, late)[f"{n}.c"].status for n in "abc"] == ["analyzed_exact"] * 3
+    assert [analyze(spark, late, whole)[f"{n}.c"].status for n in "abc"] == ["skipped_by_policy", "skipped_binary", "skipped_by_policy"]
+
+
+def test_unreadable_folders_and_links(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.c").write_bytes(b"x")
+    (tmp_path / "link").symlink_to(tmp_path / "d")
+    (tmp_path / "d" / "up").symlink_to(tmp_path)
+    root = str(tmp_path)
+    assert {r.relative_path for r in scan_directory(spark, root, 40).collect()} == {"d/a.c"}
+    followed = list_directory(spark, root, follow_symlinks=True)
+    assert {r.relative_path for r in scan_directory(spark, root, 40, listing=followed).collect()} == {"d/a.c", "link/a.c"}
+    assert {r.path.removeprefix(root) for r in walk_errors(followed).collect()} == {"/d/up"} | {
+        r.path.removeprefix(root) for r in followed.where("error is not null").collect()
+    }
+    missing = list_directory(spark, root + "/gone")
+    assert [r.path for r in walk_errors(missing).collect()] == [root + "/gone"]
+    assert discovery_warnings(walk_errors(missing)).first().warning.startswith("discovery warning: ")
+
+
 def test_directory_sources(spark, tmp_path):
     for name, data in {"a.c": b"int a;\n", "_p/__init__.py": b"x = 1\n", "big.c": b"y" * 50, ".h/x.c": b"z",
                        "s/t/u.rs": b"// c\n"}.items():
@@ -203,6 +258,9 @@ def test_overlapping_roots(spark):
     parts = [from_table(corpus.where(F.startswith("path", F.lit(root + "/"))), root) for root in roots]
     both = union_roots(parts)
     assert {(r.root, r.path) for r in dedupe_paths(both, roots).collect()} == {("/r", "/r/.s/a.c"), ("/r", "/r/b.c")}
+    single = union_roots([scan_single_file(corpus, "/r/b.c"), *parts])
+    found = dedupe_paths(single, ["/r/b.c", *roots], file_roots=[0]).collect()
+    assert sorted((r.path, r.relative_path) for r in found) == [("/r/.s/a.c", ".s/a.c"), ("/r/b.c", "b.c"), ("/r/b.c", "b.c")]
     hidden = dedupe_paths(both, roots, ignore_hidden_files=True)
     assert {(r.root, r.path) for r in hidden.collect()} == {("/r/.s", "/r/.s/a.c"), ("/r", "/r/b.c")}
 
