@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Byte order marks.
 UTF8_BOM, UTF16LE_BOM, UTF16BE_BOM = (bytes.fromhex(mark) for mark in ("efbbbf", "fffe", "feff"))
 
 # Bytes 0x80-0x9F read as windows-1252; the five undefined ones stay.

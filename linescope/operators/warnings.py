@@ -9,6 +9,7 @@ from linescope.functions.paths import extension
 from linescope.operators.languages import lookup
 from linescope.session import checkpoint_dir
 
+# Fixed values.
 UNSUPPORTED = "unsupported or undetected language"
 OTHER = "Other warnings"
 
@@ -49,6 +50,7 @@ OPPORTUNITIES = [
     ("Plain text assets", (".txt",),
      "Classify text asset placeholders as plain text or ignore them by policy."),
 ]
+# Fixed value.
 REVIEW = (
     "Review this bucket and either map it to an existing metadata class or create a dedicated analyzer when it "
     "truly represents source."
@@ -109,6 +111,7 @@ def support_opportunities(warnings: DataFrame) -> DataFrame:
         for ending in endings:
             hit = hit | F.endswith(F.col("_path"), F.lit(ending))
         rules.append((hit, label))
+    # Labels of what no ending names.
     rest = F.when(extension(F.col("_path")) == "", "Extensionless or custom text files").otherwise(
         "Other unsupported text formats"
     )
