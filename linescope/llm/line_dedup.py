@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linescope.llm.set_join import NONE, Items, candidate_sets, lengths_fit, places_fit, prefixes, set_name, signed, similar
+from linescope.llm.set_join import NONE, Items, candidate_sets, lengths_fit, places_fit, prefixes, signed, similar
 from linescope.llm.storage import saved
-from linescope.llm.words import windows, word_hashes
+from linescope.llm.words import line_words, mixed, windows
 
 SIZE = 5
 
@@ -42,34 +42,37 @@ def mark_of(data: bytes) -> int:
     return signed(xxhash.xxh64_intdigest(data, seed=42))
 
 
-def line_sets(data: bytes, size: int = SIZE) -> Iterator[tuple[int, np.ndarray]]:
-    """Place and sorted distinct shingles of every line of at least `size` words."""
-    hashes = word_hashes(data, lower=True)
+def line_sets(data: bytes, size: int = SIZE) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Place, name and distinct shingles of every line of at least `size` words.
+    The name is a sum over the shingles, so their order does not matter."""
+    hashes, counts = line_words(data)
     if len(hashes) < size:
         return
-    counts = np.array([len(line.split()) for line in data.split(b"\n")])
     lines = np.repeat(np.arange(len(counts)), counts)
     whole = lines[size - 1 :] == lines[: len(lines) - size + 1]
     grams, lines = windows(hashes, size)[whole], lines[: len(whole)][whole]
     if not len(grams):
         return
-    order = np.lexsort((grams, lines))
-    grams, lines = grams[order], lines[order]
-    fresh = np.append(True, (grams[1:] != grams[:-1]) | (lines[1:] != lines[:-1]))
-    grams, lines = grams[fresh], lines[fresh]
+    ordered = np.sort(grams)
+    if (ordered[1:] == ordered[:-1]).any():  # perhaps twice in one line
+        order = np.lexsort((grams, lines))
+        grams, lines = grams[order], lines[order]
+        fresh = np.append(True, (grams[1:] != grams[:-1]) | (lines[1:] != lines[:-1]))
+        grams, lines = grams[fresh], lines[fresh]
     edges = np.flatnonzero(np.append(True, lines[1:] != lines[:-1]))
-    for start, end in zip(edges.tolist(), [*edges[1:].tolist(), len(lines)]):
-        yield int(lines[start]), grams[start:end]
+    names = mixed(np.add.reduceat(mixed(grams), edges)).view(np.int64).tolist()
+    for place, name, start, end in zip(lines[edges].tolist(), names, edges.tolist(), [*edges[1:].tolist(), len(lines)]):
+        yield place, name, grams[start:end]
 
 
 def _lines(batch: pa.RecordBatch) -> Iterator[Items]:
-    """The sets of a document's lines; notes (doc_id, mark of the text, place)."""
+    """The sets of a document's lines; notes (doc_id, mark of the text, place) of
+    each, and one without a set that has the number of lines for place."""
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         data = (text or "").encode("utf-8", "surrogatepass")
         doc_id, mark = NONE if doc_id is None else doc_id, mark_of(data)
-        sets, notes = [], []
-        for place, grams in line_sets(data):
-            name = set_name(grams)
+        sets, notes = [], [(doc_id, mark, data.count(b"\n") + 1 if data else 0, None)]
+        for place, name, grams in line_sets(data):
             sets.append((name, grams))
             notes.append((doc_id, mark, place, name))
         yield sets, notes
@@ -110,16 +113,19 @@ def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(similar("overlap", percent)).select(F.col("a").alias("line")).distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, removed_lines): places, from 0, of the lines to remove, of
-    every document (doc_id and hash of its text) that has any."""
-    nodes, places = candidate_sets(docs.select("doc_id", "text"), _lines, percent, ["doc_id", "mark", "place"])
+    every document (doc_id and hash of its text) that has any; and (doc_id,
+    mark, n_lines) of all documents."""
+    nodes, notes = candidate_sets(docs.select("doc_id", "text"), _lines, percent, ["doc_id", "mark", "place"])
+    every = notes.filter("node is null").select("doc_id", "mark", F.col("place").alias("n_lines"))
+    places = notes.filter("node is not null").select("doc_id", "mark", "place", "node")
     spot = F.struct("doc_id", "mark", "place")
     first = saved(places.groupBy("node").agg(F.min(spot).alias("first")))
     again = earlier_matches(nodes, first, percent).withColumn("beaten", F.lit(True))
     verdict = first.join(again, "node", "left")
     later = places.join(verdict, "node").filter(F.coalesce("beaten", F.lit(False)) | (spot != F.col("first")))
-    return later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("place")).alias("removed_lines"))
+    return later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("place")).alias("removed_lines")), every
 
 
 def _with_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
@@ -132,18 +138,17 @@ def _with_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines of every document."""
-    ends = F.length("text") - F.length(F.translate("text", "\n", ""))
-    lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(ends + 1).cast("bigint")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_mark"), lines.alias("n_lines"))
+    removed, every = removed_lines(docs, percent)
     gone = F.coalesce("_removed", F.array().cast("array<bigint>"))
-    rows = _with_removed(rows, removed_lines(docs, percent))
+    rows = _with_removed(every.withColumnRenamed("mark", "_mark"), removed)
     return rows.select("doc_id", "n_lines", F.size(gone).cast("bigint").alias("n_removed"), gone.alias("removed_lines"))
 
 
 def dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
     """`docs` without the removed lines; n_chars, where there is one, counts
     anew.  A document that loses lines and has no word left goes."""
-    rows = _with_removed(docs.withColumn("_mark", F.xxhash64("text")), removed_lines(docs, percent))
+    removed, _ = removed_lines(docs, percent)
+    rows = _with_removed(docs.withColumn("_mark", F.xxhash64("text")), removed)
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("_removed", k.cast("bigint"))), "\n")
     rows = rows.withColumn("text", F.when(F.col("_removed").isNotNull(), left).otherwise(F.col("text")))

@@ -121,9 +121,11 @@ def _shared_of(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
     order = np.argsort(grams)
     ranked = grams[order]
     edges = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    repeats = np.diff(np.append(edges, len(ranked)))
+    repeats = np.diff(np.append(edges, len(ranked))).astype(np.int32)
+    del ranked
     freqs = np.empty(len(grams), np.int32)
     freqs[order] = np.repeat(repeats, repeats)
+    del order
     rows, start = [], 0
     for chunk, owners, packed in parts:
         end = start + len(packed) // WIDTH

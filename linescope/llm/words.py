@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,18 @@ _ODD = np.array(
 )
 
 
+#: Python workers of one application share a hash seed, which Spark sets, so the
+#: built-in hash of bytes is the same in all of them; elsewhere it is not.
+SEEDED = os.environ.get("PYTHONHASHSEED", "").isdigit()
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of every word."""
+    if SEEDED:
+        return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def blocks(data: bytes, size: int = BLOCK) -> Iterator[bytes]:
     """Cut `data` at white space into pieces of about `size` bytes."""
     start = 0
@@ -35,10 +48,22 @@ def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
     parts = []
     for piece in blocks(data):
         found = (piece.lower() if lower else piece).split()
-        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+        parts.append(hashed(found))
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def line_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words, and how many each line has."""
+    if len(data) > BLOCK:
+        return word_hashes(data, lower=True), np.array([sum(len(b.split()) for b in blocks(line)) for line in data.split(b"\n")])
+    found, counts = [], []
+    for line in data.lower().split(b"\n"):
+        words = line.split()
+        counts.append(len(words))
+        found += words
+    return hashed(found), np.array(counts)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (Murmur3's finaliser)."""
     values = values ^ (values >> np.uint64(33))
@@ -56,6 +81,7 @@ def windows(hashes: np.ndarray, size: int = 5) -> np.ndarray:
     size = min(size, len(hashes))
     count = len(hashes) - size + 1
     total = np.full(count, np.uint64(size), np.uint64)
+    hashes = mixed(hashes)
     for k in range(size):
-        total += mixed(hashes[k : k + count] * _ODD[k])
+        total += hashes[k : k + count] * _ODD[k]
     return mixed(total)
