@@ -42,7 +42,8 @@ from linescope.llm.words import windows, word_hashes
 def gram_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct n-gram hashes of a lower-cased text."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    return np.unique(windows(word_hashes(data, lower=True), size))
+    grams = np.sort(windows(word_hashes(data, lower=True), size))
+    return grams[np.append(True, grams[1:] != grams[:-1])] if len(grams) else grams
 
 
 def _documents(batch: pa.RecordBatch, size: int) -> Iterator[Items]:
@@ -78,12 +79,26 @@ def fragments_of(nodes: DataFrame, fragments: int) -> DataFrame:
 
 def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose partial overlaps, summed over the fragments, reach
-    `percent` of the union."""
+    `percent` of the union.  r is how many n-grams of a set others share.
+
+    The fragment of the rarest n-grams is counted first.  Pairs that could not
+    reach the overlap even if they shared all the rest end there.
+    """
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"])
-    partial = partial.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("left", "right")).alias("partial"))
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("overlap"))
+    size = lambda grams: F.coalesce(F.array_size(grams), F.lit(0))
+    rare = (
+        pairs.join(left.filter("fragment = 0").drop("fragment"), "a", "left")
+        .join(right.filter("fragment = 0").drop("fragment"), "b", "left")
+        .withColumn("partial", size(F.array_intersect("left", "right")))
+        .withColumn("most", F.col("partial") + F.least(F.col("r_a") - size(F.col("left")), F.col("r_b") - size(F.col("right"))))
+        .filter(F.expr(f"(100 + {percent}) * most >= {percent} * (n_a + n_b)"))
+        .select("a", "b", "n_a", "n_b", "partial")
+    )
+    rare = saved(rare)
+    rest = rare.drop("partial").join(left.filter("fragment > 0"), "a").join(right.filter("fragment > 0"), ["b", "fragment"])
+    rest = rest.select("a", "b", "n_a", "n_b", F.array_size(F.array_intersect("left", "right")).alias("partial"))
+    total = rare.union(rest).groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("overlap"))
     return total.filter(similar("overlap", percent)).select("a", "b")
 
 
@@ -91,31 +106,36 @@ def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Links (a, b) between different sets; enough to give every component."""
     segments = fragments_of(nodes, fragments)
     postings = saved(prefixes(nodes, percent))
-    by_gram = postings.select("node", "n", "gram")
+    shared = (F.col("n") - F.col("unshared")).alias("r")
+    by_gram = postings.select("node", "n", shared, "gram")
     # The likeliest centre of a group has the fewest n-grams of its own.
     own = F.floor(64 * F.col("unshared") / F.col("n")).alias("own")
-    hubs = postings.groupBy("gram").agg(F.min(F.struct(own, F.xxhash64("node").alias("mark"), "node", "n")).alias("hub"))
+    hubs = postings.groupBy("gram").agg(F.min(F.struct(own, F.xxhash64("node").alias("mark"), "node", "n", shared)).alias("hub"))
     votes = (
         by_gram.join(hubs, "gram")
         .filter(F.col("node") != F.col("hub.node"))
-        .groupBy(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"))
+        .groupBy(
+            F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"),
+            F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.r").alias("r_b"),
+        )
         .agg(F.count("*").alias("votes"))
         .filter(lengths_fit(percent))
     )
-    star = votes.groupBy("a", "n_a").agg(F.max(F.struct("votes", "b", "n_b")).alias("top")).select("a", "n_a", "top.b", "top.n_b")
+    star = votes.groupBy("a", "n_a", "r_a").agg(F.max(F.struct("votes", "b", "n_b", "r_b")).alias("top"))
+    star = star.select("a", "n_a", "r_a", "top.b", "top.n_b", "top.r_b")
     found = saved(verified(star, segments, percent))
     groups = saved(components(found))
 
-    grouped = postings.drop("unshared").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = postings.select("node", "n", shared, "place", "gram").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = grouped.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
     rest = saved(grouped.join(mixed, "gram"))
-    one = rest.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "root")))
-    two = rest.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "root")))
+    one = rest.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "r", "place", "root")))
+    two = rest.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "r", "place", "root")))
     pairs = (
         one.join(two, "gram")
         .filter("root_a < root_b")
         .filter(lengths_fit(percent) & places_fit(percent))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "r_a", "r_b")
         .distinct()
     )
     return found.union(verified(pairs, segments, percent))
@@ -140,5 +160,9 @@ def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75) -> Da
     """`docs` with one document of each component: the one of the smallest
     doc_id; documents without words all stay."""
     found = ngram_components(docs, size, percent)
+    found = saved(found)
     others = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    # Rows that repeat an id are few or none; only they are looked at again.
+    again = found.filter("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    once = docs.join(others.union(again), "doc_id", "left_anti")
+    return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
