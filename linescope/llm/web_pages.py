@@ -215,9 +215,9 @@ def first_pass(block: Block) -> bool | None:
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     """Undecided blocks take the label of the nearest decided neighbour, at
-    equal distance text before clutter where the article is marked, else
-    clutter; containers known as clutter are no neighbours.  With none decided
-    a block is text if the article is marked."""
+    equal distance text where the article is marked, else clutter.  Inside a
+    marked article containers known as clutter are no neighbours, and with none
+    decided a block is text."""
     count = len(blocks)
     left: list[int | None] = [None] * count
     right: list[int | None] = [None] * count

@@ -171,7 +171,7 @@ PAGES = [
     ("", ""),
     (f"<article><h1>Title &amp; more</h1><p>{GOOD}<p>Short.</p></article><footer>&copy; x</footer>", f"Title & more\n\n{GOOD.strip()}\n\nShort."),
     (f"<nav><a href=/>Home</a></nav><article><p>{GOOD}</p></article><aside>{GOOD}</aside>", GOOD.strip()),
-    (f"<body><div class='side-menu'>{GOOD}</div><p>{GOOD * 2}</p><p>Yes.</p><div id=cookie-notice>{GOOD}</div></body>", (GOOD * 2).strip() + "\n\nYes."),
+    (f"<body><div class='side-menu'>{GOOD}</div><p>{GOOD * 2}</p><p>Yes.</p><p>No.</p><div id=cookie-notice>{GOOD}</div></body>", (GOOD * 2).strip() + "\n\nYes."),
     (f"<main><p>{GOOD}</p><div class='comments'><p>{GOOD}</p></div></main>", GOOD.strip()),
     (f"<article><p>{GOOD}</p><p><a href=x>one</a> <a href=y>two more links</a></p></article>", GOOD.strip()),
     (f"<article><script>var t = '</p>';</script><style>p{{}}</style><p>{GOOD}<b>bold</b>\n\n text&nbsp;x</p><!-- <p>no</p> --></article>", GOOD + "bold text x"),
