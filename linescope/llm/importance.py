@@ -116,8 +116,9 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, shrink: float = 10.0) -> Model | None:
-    """Both models and the cut; None without a good label.  `shrink` is the
-    weight of the raw model in the target's, in tokens a slot."""
+    """Both models and the cut; None without a good label.  `shrink` is
+    added to the target's count of a slot and to the count that the raw model
+    expects there."""
     spark = docs.sparkSession
     python_tasks(spark)
     known = labelled(labels, max_labels)
@@ -129,13 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, shrink
     ids = spark.sparkContext.broadcast(good)
     counts = texts.mapInArrow(lambda b: _count(b, ids), "slot bigint, raw bigint, target bigint")
     counts = counts.groupBy("slot").agg(F.sum("raw"), F.sum("target")).collect()  # SLOTS rows at most
-    raw, target = np.full(SLOTS, 1.0), np.zeros(SLOTS)
+    raw, target = np.zeros(SLOTS), np.zeros(SLOTS)
     for slot, all_of, good_of in counts:
         raw[slot] += all_of
         target[slot] += good_of
-    raw /= raw.sum()
-    target += shrink * SLOTS * raw
-    ratio = (np.log(target / target.sum()) - np.log(raw)).astype(np.float32)
+    expected = raw * (target.sum() / max(1.0, raw.sum()))
+    ratio = np.log((target + shrink) / (expected + shrink)).astype(np.float32)
     unseen = [(doc_id,) for doc_id in known if doc_id not in taught]
     marked = spark.createDataFrame(unseen, "doc_id bigint")
     sample = texts.join(F.broadcast(marked), "doc_id", "left_semi")  # bounded by max_labels
