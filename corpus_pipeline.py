@@ -16,6 +16,8 @@ from linescope.llm.queries import with_topic
 from linescope.llm.storage import saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Share of the tokens that reach the mix and stay in it.
+MIX_SHARE = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and sizes have the tempered shares."""
-    return mixing.mix(with_topic(docs)).filter("kept").select(COLUMNS)
+    """A sample of `MIX_SHARE` of the tokens, whose sources, languages and sizes
+    lean to the tempered shares; rare cells are kept whole."""
+    return mixing.mix(with_topic(docs), share=MIX_SHARE).filter("kept").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
