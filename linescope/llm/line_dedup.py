@@ -2,14 +2,17 @@
 
 A line's tokens are its distinct five-word shingles, lower-cased.  A line is
 removed when an earlier one (by doc_id, then place) has a Jaccard similarity of
-at least `percent`; lines of fewer words than a shingle say too little and stay.
+at least `percent`.  A line of fewer words than a shingle has its whole word
+sequence for its one token, so it goes when an earlier line has the same words.
+`shortest` is the number of words from which lines take part: 1 for all.
 
 Lines with equal token sets are one node, held by its earliest place.  Tokens
 are ordered by rarity.  Two similar lines share a token of both prefixes (prefix
 filter), neither is too short for the other (length filter), and enough tokens
 stand behind the first shared one (position filter).  Every line meets the
 earliest line of each of its prefix tokens first; most repeats are settled by
-that.  Only lines that stay unsettled are compared with all earlier lines of
+that.  Lines shorter than a shingle need no join: their repeats are equal nodes.
+Only lines that stay unsettled are compared with all earlier lines of
 their prefixes.
 
 Skew: a common line is one node, and its places are partial minima; common
@@ -42,10 +45,27 @@ def mark_of(data: bytes) -> int:
     return signed(xxhash.xxh64_intdigest(data, seed=42))
 
 
-def line_sets(data: bytes, size: int = SIZE) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Place, name and distinct shingles of every line of at least `size` words.
-    The name is a sum over the shingles, so their order does not matter."""
+def _named(sums: np.ndarray) -> list[int]:
+    return mixed(sums).view(np.int64).tolist()
+
+
+def short_lines(hashes: np.ndarray, counts: np.ndarray, shortest: int, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Place, name and an empty set of every line of `shortest` to `size` - 1
+    words: it can only resemble its equals, which the name tells."""
+    starts, none = np.cumsum(counts) - counts, np.empty(0, np.uint64)
+    for n in range(max(1, shortest), size):
+        places = np.flatnonzero(counts == n)
+        if len(places):
+            words = hashes[starts[places][:, None] + np.arange(n)].reshape(-1)
+            names = _named(mixed(windows(words, n)[::n]))
+            yield from ((place, name, none) for place, name in zip(places.tolist(), names))
+
+
+def line_sets(data: bytes, size: int = SIZE, shortest: int = SIZE) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Place, name and distinct shingles of every line of at least `shortest`
+    words.  The name is a sum over the shingles, so their order does not matter."""
     hashes, counts = line_words(data)
+    yield from short_lines(hashes, counts, shortest, size)
     if len(hashes) < size:
         return
     lines = np.repeat(np.arange(len(counts)), counts)
@@ -60,19 +80,19 @@ def line_sets(data: bytes, size: int = SIZE) -> Iterator[tuple[int, int, np.ndar
         fresh = np.append(True, (grams[1:] != grams[:-1]) | (lines[1:] != lines[:-1]))
         grams, lines = grams[fresh], lines[fresh]
     edges = np.flatnonzero(np.append(True, lines[1:] != lines[:-1]))
-    names = mixed(np.add.reduceat(mixed(grams), edges)).view(np.int64).tolist()
+    names = _named(np.add.reduceat(mixed(grams), edges))
     for place, name, start, end in zip(lines[edges].tolist(), names, edges.tolist(), [*edges[1:].tolist(), len(lines)]):
         yield place, name, grams[start:end]
 
 
-def _lines(batch: pa.RecordBatch) -> Iterator[Items]:
+def _lines(batch: pa.RecordBatch, shortest: int) -> Iterator[Items]:
     """The sets of a document's lines; notes (doc_id, mark of the text, place) of
     each, and one without a set that has the number of lines for place."""
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         data = (text or "").encode("utf-8", "surrogatepass")
         doc_id, mark = NONE if doc_id is None else doc_id, mark_of(data)
         sets, notes = [], [(doc_id, mark, data.count(b"\n") + 1 if data else 0, None)]
-        for place, name, grams in line_sets(data):
+        for place, name, grams in line_sets(data, shortest=shortest):
             sets.append((name, grams))
             notes.append((doc_id, mark, place, name))
         yield sets, notes
@@ -113,11 +133,11 @@ def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(similar("overlap", percent)).select(F.col("a").alias("line")).distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, percent: int = 75, shortest: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, removed_lines): places, from 0, of the lines to remove, of
     every document (doc_id and hash of its text) that has any; and (doc_id,
     mark, n_lines) of all documents."""
-    nodes, notes = candidate_sets(docs.select("doc_id", "text"), _lines, percent, ["doc_id", "mark", "place"])
+    nodes, notes = candidate_sets(docs.select("doc_id", "text"), lambda batch: _lines(batch, shortest), percent, ["doc_id", "mark", "place"])
     every = notes.filter("node is null").select("doc_id", "mark", F.col("place").alias("n_lines"))
     places = notes.filter("node is not null").select("doc_id", "mark", "place", "node")
     spot = F.struct("doc_id", "mark", "place")
@@ -136,18 +156,18 @@ def _with_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
     return rows.join(side, here, "left").drop("_doc_id", "_its_mark")
 
 
-def verdicts(docs: DataFrame, percent: int = 75) -> DataFrame:
+def verdicts(docs: DataFrame, percent: int = 75, shortest: int = SIZE) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines of every document."""
-    removed, every = removed_lines(docs, percent)
+    removed, every = removed_lines(docs, percent, shortest)
     gone = F.coalesce("_removed", F.array().cast("array<bigint>"))
     rows = _with_removed(every.withColumnRenamed("mark", "_mark"), removed)
     return rows.select("doc_id", "n_lines", F.size(gone).cast("bigint").alias("n_removed"), gone.alias("removed_lines"))
 
 
-def dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 75, shortest: int = SIZE) -> DataFrame:
     """`docs` without the removed lines; n_chars, where there is one, counts
     anew.  A document that loses lines and has no word left goes."""
-    removed, _ = removed_lines(docs, percent)
+    removed, _ = removed_lines(docs, percent, shortest)
     rows = _with_removed(docs.withColumn("_mark", F.xxhash64("text")), removed)
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("_removed", k.cast("bigint"))), "\n")

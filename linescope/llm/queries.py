@@ -66,7 +66,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.verdicts(table(spark, sf_dir, "documents"))
+    return line_dedup.verdicts(table(spark, sf_dir, "documents"), shortest=1)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

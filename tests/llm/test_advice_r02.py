@@ -1,12 +1,14 @@
 """Cases of the second round of advice."""
 
 import collections
+import random
 
+import brute
 import pytest
 from test_row_operators import documents
 
 import corpus_pipeline
-from linescope.llm import mixing
+from linescope.llm import line_dedup, mixing
 
 # ---- mixing ----------------------------------------------------------------------------
 
@@ -42,3 +44,36 @@ def test_the_pipeline_mix_keeps_its_share(spark):
     counts = collections.Counter(r.source for r in kept)
     assert counts["stray"] == 1
     assert sum(counts.values()) == pytest.approx(750, rel=0.1)
+
+
+# ---- line dedup ------------------------------------------------------------------------
+
+
+def all_removed_lines(docs):
+    """brute.removed_lines, with lines of every length."""
+    seen, out = [], {}
+    for doc_id, text in sorted(docs, key=lambda d: d[0]):
+        out[doc_id] = []
+        for place, line in enumerate((text or "").split("\n")):
+            mine = brute.shingles(line)
+            if any(brute.similar(mine, other) for other in seen):
+                out[doc_id].append(place)
+            seen.append(mine)
+    return out
+
+
+def test_short_lines_take_part(spark):
+    rng = random.Random(4)
+    lines = ["Home | About", "home  |  ABOUT", "Wh the.", "}", "one two three four", "four three two one", "one two three four five"]
+    lines += ["a a a a a", "a a a a", "a a a a a a", " ", "", "x", " ".join(f"w{k}" for k in range(20)), " ".join(f"w{k}" for k in range(1, 20))]
+    docs = [(k, "\n".join(rng.choice(lines) for _ in range(rng.choice([1, 3, 6])))) for k in range(40)]
+    docs += [(90, None), (91, "\n\n"), (92, "\n".join(["Erheed. Titionly."] * 181)), (93, "new\nerheed. titionly.")]
+    rows = {r.doc_id: r.removed_lines for r in line_dedup.verdicts(documents(spark, docs), shortest=1).collect()}
+    assert rows == all_removed_lines(docs)
+    assert rows[92] == list(range(1, 181)) and rows[93] == [1]
+
+
+def test_the_pipeline_removes_short_repeats(spark):
+    docs = [(k, f"footer of four words\nthe text of number {k} alone {k} {k + 1}") for k in range(9)] + [(20, "Footer of  four words")]
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, documents(spark, docs), "").collect()}
+    assert left == {k: text if k == 0 else text.split("\n")[1] for k, text in docs[:9]}
