@@ -2,9 +2,10 @@
 
 Every text is read once.  The task that reads it counts the base figures and
 hashes its normalised lines; from then on only hashes move.  A line counts once
-per distinct text of a host, so a document does not lose its lines for having
-been copied as a whole.  Lines above the host's limit are removed; a document
-that keeps too little is rejected.
+per document (`per_document`: distinct doc_id, and every row without one), or
+else once per distinct text of a host.  Lines above the limit are removed; a
+document that keeps too little is rejected.  With `share` 0 the limit is the
+same for a host of any size.
 
 Skew: the count has the key (host, line) and partial sums, so a host with a
 third of all rows spreads over its lines, and a line of a third of all
@@ -12,7 +13,7 @@ documents arrives as one row per task.  Finding the documents of a common line
 is a plain join whose hot keys Spark splits.
 
 Nulls: a null text has no words and fails the base rules; a null host is a host
-of its own.  Each input row is one document, repeated ids included.  An empty
+of its own.  Each input row is judged as a document, repeated ids included.  An empty
 table gives no rows.  Extra columns are ignored.
 """
 
@@ -109,17 +110,21 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
     return saved(rows.withColumn("row_id", F.monotonically_increasing_id()))
 
 
-def common_lines(rows: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(host, line_hash) of lines in more distinct texts of a host than
-    max(min_docs, share * texts of the host)."""
-    texts = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
+def common_lines(rows: DataFrame, min_docs: int, share: float, per_document: bool = False) -> DataFrame:
+    """(host, line_hash) of lines in more distinct texts, or documents, of a
+    host than max(min_docs, share * texts, or documents, of the host)."""
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("row_id")).alias("unnamed")
+    one = ["doc_id", unnamed] if per_document else ["text_hash"]
+    texts = rows.select("host", *one).distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
     lines = (
-        rows.select("host", "text_hash", F.explode("line_hash").alias("line_hash"))
+        rows.select("host", *one, F.explode("line_hash").alias("line_hash"))
         .distinct()
         .groupBy("host", "line_hash")
         .agg(F.count("*").alias("n_docs"))
         .filter(F.col("n_docs") > min_docs)
     )
+    if share == 0:
+        return lines
     limit = F.greatest(F.lit(min_docs), F.col("n_texts") * F.lit(share))
     return (
         lines.withColumnRenamed("host", "line_host")
@@ -134,7 +139,7 @@ def base_failed() -> Column:
 
 
 def quality_rules(
-    docs: DataFrame, host: str = "source", min_docs: int = 10, share: float = 0.05, min_left: float = 0.3
+    docs: DataFrame, host: str = "source", min_docs: int = 10, share: float = 0.05, min_left: float = 0.3, per_document: bool = False
 ) -> DataFrame:
     """One row per document: base figures, `removed_lines` (places of the first
     copies of lines above the limit, from 0), `n_removed_words`, base_failed,
@@ -144,7 +149,7 @@ def quality_rules(
     its words.
     """
     rows = figures(docs, host)
-    common = common_lines(rows, min_docs, share)
+    common = common_lines(rows, min_docs, share, per_document)
     mine = rows.select("row_id", "host", F.explode(F.arrays_zip("line_hash", "line_words", "line_first")).alias("line"))
     mine = mine.select("row_id", F.col("host").alias("own_host"), "line.*")
     gone = (

@@ -70,7 +70,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines", "host")
+    rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"), share=0.0, per_document=True)
+    return rows.drop("removed_lines", "host")
 
 
 QUERIES = {

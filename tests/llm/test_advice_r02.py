@@ -8,7 +8,7 @@ import pytest
 from test_row_operators import documents
 
 import corpus_pipeline
-from linescope.llm import line_dedup, mixing
+from linescope.llm import line_dedup, mixing, quality_rules
 
 # ---- mixing ----------------------------------------------------------------------------
 
@@ -77,3 +77,28 @@ def test_the_pipeline_removes_short_repeats(spark):
     docs = [(k, f"footer of four words\nthe text of number {k} alone {k} {k + 1}") for k in range(9)] + [(20, "Footer of  four words")]
     left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, documents(spark, docs), "").collect()}
     assert left == {k: text if k == 0 else text.split("\n")[1] for k, text in docs[:9]}
+
+
+# ---- quality rules ---------------------------------------------------------------------
+
+
+def removed_words(spark, docs):
+    rows = quality_rules.quality_rules(documents(spark, docs), share=0.0, per_document=True).collect()
+    return sorted(((r.doc_id, r.n_removed_words) for r in rows), key=repr)
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    """11 of 400 documents share a footer, 10 another line."""
+    own = lambda k: " ".join(f"{k}x{j}" for j in range(12))
+    docs = [(k, own(k) + ("\nshared footer" if k < 11 else "\nless shared" if k < 21 else ""), "big") for k in range(400)]
+    assert removed_words(spark, docs) == sorted(((k, 2 if k < 11 else 0) for k, _, _ in docs), key=repr)
+
+
+def test_copies_count_as_documents(spark):
+    """A text copied whole 11 times counts 11 times, rows of one id once, rows
+    without an id each."""
+    text = lambda name: " ".join(f"{name}{j}" for j in range(12))
+    docs = [(k, text("copied"), "a") for k in range(11)] + [(50, text("same"), "a")] * 30 + [(None, text("nameless"), "a")] * 11
+    docs += [(100 + k, text("ten"), "a") for k in range(10)] + [(200 + k, text("copied"), "b") for k in range(10)]
+    want = {"copied": 12, "same": 0, "nameless": 12, "ten": 0}
+    assert removed_words(spark, docs) == sorted(((i, want[t.split("0")[0]] if h == "a" else 0) for i, t, h in docs), key=repr)
