@@ -11,7 +11,8 @@ documents without repetition, drawn by weight.
 
 k is the number of documents whose weight passes a cut.  The cut is the one
 that tells good and bad labels apart best, on labelled rows that the target's
-model has not seen (every other one).
+model has not seen (every other one).  Where those lack one of the two kinds,
+all labelled rows set it; where no good row is among these either, it is 0.
 
 The target and the cut come from at most `max_labels` labelled rows, a stated
 bound (those with the least hash of doc_id); all counts of the raw model, all
@@ -122,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, shrink
     spark = docs.sparkSession
     python_tasks(spark)
     known = labelled(labels, max_labels)
-    taught = set(list(known)[::2])  # the others set the cut
+    halves = [set(list(known)[k::2]) for k in (0, 1)]
+    taught = next((half for half in halves if any(known[doc_id] > 0 for doc_id in half)), set())  # the others set the cut
     good = {doc_id for doc_id in taught if known[doc_id] > 0}
     if not good:
         return None
@@ -136,12 +138,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, shrink
         target[slot] += good_of
     expected = raw * (target.sum() / max(1.0, raw.sum()))
     ratio = np.log((target + shrink) / (expected + shrink)).astype(np.float32)
-    unseen = [(doc_id,) for doc_id in known if doc_id not in taught]
-    marked = spark.createDataFrame(unseen, "doc_id bigint")
+    values, right = _judged(texts, known, [doc_id for doc_id in known if doc_id not in taught], ratio)
+    if right.all() or not right.any():
+        values, right = _judged(texts, known, list(known), ratio)
+    return Model(ratio, best_cut(values, right) if right.any() else 0.0)
+
+
+def _judged(texts: DataFrame, known: dict[int, int], ids: list[int], ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the labelled documents `ids`, and whether each is good."""
+    marked = texts.sparkSession.createDataFrame([(doc_id,) for doc_id in ids], "doc_id bigint")
     sample = texts.join(F.broadcast(marked), "doc_id", "left_semi")  # bounded by max_labels
     rows = [row for row in weights(sample, Model(ratio, 0.0)).collect() if row.log_weight is not None]
-    values = np.array([row.log_weight for row in rows])
-    return Model(ratio, best_cut(values, np.array([known[row.doc_id] > 0 for row in rows], bool)))
+    return np.array([row.log_weight for row in rows]), np.array([known[row.doc_id] > 0 for row in rows], bool)
 
 
 def weights(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from test_row_operators import documents
 
 import corpus_pipeline
-from linescope.llm import line_dedup, mixing, quality_rules
+from linescope.llm import importance, line_dedup, mixing, quality_rules
 
 # ---- mixing ----------------------------------------------------------------------------
 
@@ -102,3 +102,21 @@ def test_copies_count_as_documents(spark):
     docs += [(100 + k, text("ten"), "a") for k in range(10)] + [(200 + k, text("copied"), "b") for k in range(10)]
     want = {"copied": 12, "same": 0, "nameless": 12, "ten": 0}
     assert removed_words(spark, docs) == sorted(((i, want[t.split("0")[0]] if h == "a" else 0) for i, t, h in docs), key=repr)
+
+
+# ---- importance resampling -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("qualities", [(1, 0), (0, 1), (1, 0, 0), (0, 0, 1), (0, 1, 0)])
+def test_classifier_with_two_or_three_labels(spark, qualities):
+    docs = [(k, " ".join(("good" if k % 2 else "b$d") + str(j % 7) for j in range(60))) for k in range(40)]
+    rows = [(2 * k + quality, quality, 0) for k, quality in enumerate(qualities)]
+    labels = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in importance.classify(documents(spark, docs), labels).collect() if r.kept}
+    assert kept and len(kept) < len(docs)
+
+
+def test_classifier_whose_good_documents_are_absent(spark):
+    labels = spark.createDataFrame([(900, 1, 0), (901, 1, 0), (1, 0, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    rows = importance.classify(documents(spark, [(k, f"some words {k}") for k in range(9)]), labels).collect()
+    assert all(r.kept for r in rows)
