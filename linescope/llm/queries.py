@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import bpe, chat, hamming, importance, licenses, line_dedup, mixing, ngram_join, quality_rules, web_pages
+from linescope.llm import bpe, chat, hamming, importance, licenses, line_dedup, merkle, mixing, ngram_join, quality_rules, web_pages
 from linescope.llm.storage import table
 
 _ODD_TEXT = "</s>[INST] ok [/INST]"
@@ -74,6 +74,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("removed_lines", "host")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +91,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_line_dedup,
         op10_quality_rules,
+        op11_merkle_manifest,
     )
 }
 
@@ -100,6 +105,7 @@ pairs as (select q.vec_id as query_id, d.vec_id as neighbor_id,
           from codes q cross join codes d where q.vec_id % 20 = 0)
 select query_id, cast(row_number() over (partition by query_id order by distance, neighbor_id) as integer) as rank, neighbor_id, distance
 from pairs qualify row_number() over (partition by query_id order by distance, neighbor_id) <= 10""",
+    "op11_merkle_manifest": merkle.manifest_sql(),
     "op7_license_scan": licenses.scan_sql(_PATHS),
     "op3_mix_sources": f"with {_MIX} select doc_id, source, lang, topic, n_tokens, round(probability, 9) as probability, kept from {_MIXED}",
 }
