@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import bpe, chat, hamming, importance, licenses, line_dedup, merkle, mixing, ngram_join, quality_rules, web_pages
+from linescope.llm import bpe, chat, hamming, importance, licenses, line_dedup, merkle, mixing, ngram_join, quality_rules, toxicity, web_pages, whitening
 from linescope.llm.storage import table
 
 _ODD_TEXT = "</s>[INST] ok [/INST]"
@@ -78,6 +78,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +100,8 @@ QUERIES = {
         op9_line_dedup,
         op10_quality_rules,
         op11_merkle_manifest,
+        op12_embedding_whitening,
+        op13_toxicity,
     )
 }
 
