@@ -1,5 +1,6 @@
 """Decoding, detection, selection rules, globs, ignore files, settings."""
 
+import random
 import re
 
 import pytest
@@ -200,10 +201,113 @@ def test_ignore_kinds_and_malformed_lines(spark):
 
 
 def test_ignore_rules_move_no_content(spark):
+    """Paths are joined and dealt out; contents stay where they are read, and no
+    rules are gathered."""
     table = files(spark, [("/w/.gitignore", b"*.c\n"), ("/w/a.c", b"x"), ("/w/b.py", b"x")])
     kept = ignore.apply_ignore_rules(table, ignore.parse_ignore_files(ignore.ignore_texts(table)))
-    plan = kept._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
+    assert {r.relative_path for r in kept.collect()} == {".gitignore", "b.py"}
+    plan = kept._jdf.queryExecution().executedPlan()
+    assert "collect_list" not in plan.toString() and "ShuffleExchange" not in plan.toString()
+    paths = table.selectExpr("root as key", "root", "relative_path")
+    rules = ignore.parse_ignore_files(ignore.ignore_texts(table)).withColumnRenamed("root", "key")
+    inner = ignore.ignored_entries(paths, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in inner and "Join" in inner
+
+
+def walked(paths, texts, repositories=None):
+    """Kept (root, path) by a walk from the root down, as git reads its patterns.
+    `texts` are (root, dir, kind, text) with plain patterns: names, endings,
+    paths from the rule's directory."""
+    kinds = ["global", "exclude", ".gitignore", ".ignore"]
+
+    def depth(folder):
+        return -len(folder.split("/")) if folder.startswith("..") else len([p for p in folder.split("/") if p])
+
+    def seen_from(root, folder, path):
+        if folder.startswith(".."):
+            return "/".join([*root.strip("/").split("/")[depth(folder):], path])
+        return path[len(folder) + 1 :] if folder else path
+
+    def verdict(root, path, is_dir):
+        parent = path.rpartition("/")[0]
+        inner = None
+        if repositories is not None:
+            inner = max((depth(d) for r, d in repositories if r == root and (d.startswith("..") or not d or f"{parent}/".startswith(f"{d}/"))), default=None)
+        for kind in reversed(kinds):
+            own = [(d, t) for r, d, k, t in texts if r == root and k == kind]
+            own = [(d, t) for d, t in own if d.startswith("..") or not d or path.startswith(f"{d}/")]
+            if kind != ".ignore" and repositories is not None:
+                own = [(d, t) for d, t in own if inner is not None and (kind == "global" or depth(d) >= inner)]
+            for folder, text in sorted(own, key=lambda x: -depth(x[0])):
+                for line in reversed(text.split("\n")):
+                    negate, pattern = line.startswith("!"), line.removeprefix("!")
+                    if not pattern or (pattern.endswith("/") and not is_dir):
+                        continue
+                    pattern = pattern.removesuffix("/")
+                    below = seen_from(root, folder, path)
+                    if "/" in pattern:
+                        hit = below == pattern.removeprefix("/")
+                    elif pattern.startswith("*"):
+                        hit = path.endswith(pattern[1:])
+                    else:
+                        hit = path.rpartition("/")[2] == pattern
+                    if hit:
+                        return not negate
+        return False
+
+    def kept(root, path):
+        parts = path.split("/")
+        above = ["/".join(parts[:k]) for k in range(1, len(parts))]
+        return not any(verdict(root, d, True) for d in above) and not verdict(root, path, False)
+
+    return {(root, path) for root, path in paths if kept(root, path)}
+
+
+def planted(seed):
+    rng = random.Random(seed)
+    names, patterns = ["a", "b", "c.x", "d.y"], ["a", "b/", "*.x", "!*.x", "!c.x", "/a", "a/b", "/b/a", "!a", "*.y", "!d.y", "b/c.x"]
+    roots = ["/w/r", "/w/q/r", "/v"]
+    paths = {(rng.choice(roots), "/".join(rng.choices(names, k=rng.randrange(1, 5)))) for _ in range(60)}
+    folders = ["", "", "a", "b", "a/b", "..", "../..", "b/b"]
+    texts = {}
+    for _ in range(14):
+        key = (rng.choice(roots), rng.choice(folders), rng.choice(["global", "exclude", ".gitignore", ".gitignore", ".ignore"]))
+        if key[0] == "/v" and key[1] == "../..":
+            continue
+        texts[key] = "\n".join(rng.choices(patterns, k=rng.randrange(1, 4)))
+    return sorted(paths), [(*k, t) for k, t in texts.items()], [(rng.choice(roots[:2]), rng.choice(folders)) for _ in range(6)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ignore_rules_of_several_roots(spark, seed):
+    """Files above the root, exclude and global files, repositories inside of
+    others: against a walk of every path."""
+    paths, texts, works = planted(seed)
+    table = spark.createDataFrame(paths, "root string, relative_path string")
+    rules = ignore.parse_ignore_files(spark.createDataFrame(texts, "root string, dir string, kind string, text string"))
+    got = {tuple(r) for r in ignore.apply_ignore_rules(table, rules).collect()}
+    assert got == walked(paths, texts)
+    repositories = spark.createDataFrame(works, "root string, dir string")
+    got = {tuple(r) for r in ignore.apply_ignore_rules(table, rules, repositories).collect()}
+    assert got == walked(paths, texts, works)
+
+
+def test_ignore_texts_and_outer_texts(spark):
+    table = files(spark, [("/w/.gitignore", b"*.c\n"), ("/w/.git/info/exclude", b"a"), ("/w/s/.git/info/exclude", b"b"), ("/w/s/.ignore", b"c"), ("/w/exclude", b"")])
+    assert sorted(tuple(r) for r in ignore.ignore_texts(table).collect()) == [
+        ("/w", "", ".gitignore", "*.c\n"), ("/w", "", "exclude", "a"), ("/w", "s", ".ignore", "c"), ("/w", "s", "exclude", "b"),
+    ]
+    texts = spark.createDataFrame([("/", ".gitignore", "1"), ("/w", ".gitignore", "2"), ("/w/s/", ".ignore", "3"), ("/x", ".ignore", "4"), ("/w/st", ".ignore", "5")], "dir string, kind string, text string")
+    assert sorted(tuple(r) for r in ignore.outer_texts(texts, "/w/s").collect()) == [
+        ("/w/s", "", ".ignore", "3"), ("/w/s", "..", ".gitignore", "2"), ("/w/s", "../..", ".gitignore", "1"),
+    ]
+
+
+def test_large_ignored_sets_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ignore, "BROADCAST_BYTES", 0)
+    table = files(spark, [("/w/.gitignore", b"*.c\nd/\n"), ("/w/a.c", b"x"), ("/w/d/b.py", b"x"), ("/w/b.py", b"x")])
+    kept = ignore.apply_ignore_rules(table, ignore.parse_ignore_files(ignore.ignore_texts(table)))
+    assert {r.relative_path for r in kept.collect()} == {".gitignore", "b.py"}
 
 
 def test_minified_by_invalid_bytes(spark):
