@@ -1736,3 +1736,6 @@ def write_run_document(spark, sf):
         F.lit("submodule"), "name", F.col("files_analyzed").cast("string"), "code_lines", F.size("language_summaries").cast("string")
     )
     return files.union(top).union(nested)
+
+
+from linescope.catalog import saved_queries  # noqa: E402, F401  registers its queries

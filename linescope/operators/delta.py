@@ -96,14 +96,11 @@ def path_sets(baseline: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def status_counts(deltas: DataFrame) -> DataFrame:
-    return deltas.agg(
-        *[F.count_if(F.col("status") == name).alias(f"files_{name}") for name in ("added", "removed", "modified", "unchanged")]
-    )
+def _counts() -> list[Column]:
+    return [F.count_if(F.col("status") == name).alias(f"files_{name}") for name in ("added", "removed", "modified", "unchanged")]
 
 
-def line_churn(deltas: DataFrame) -> DataFrame:
-    """Code lines added, removed, net and left alone."""
+def _churn() -> list[Column]:
     status = F.col("status")
     added = F.when(status == "added", F.col("current_code")).when(
         status == "modified", F.greatest("code_delta", F.lit(0))
@@ -111,14 +108,31 @@ def line_churn(deltas: DataFrame) -> DataFrame:
     removed = F.when(status == "removed", F.col("baseline_code")).when(
         status == "modified", F.greatest(-F.col("code_delta"), F.lit(0))
     )
-    sums = deltas.agg(
+    return [
         F.coalesce(F.sum(added), F.lit(0)).alias("lines_added"),
         F.coalesce(F.sum(removed), F.lit(0)).alias("lines_removed"),
         F.coalesce(F.sum(F.when(status == "unchanged", F.col("current_code"))), F.lit(0)).alias("lines_unmodified"),
-    )
+    ]
+
+
+def _net(sums: DataFrame) -> DataFrame:
     return sums.withColumn("lines_net", F.col("lines_added") - F.col("lines_removed"))
 
 
+def status_counts(deltas: DataFrame) -> DataFrame:
+    return deltas.agg(*_counts())
+
+
+def line_churn(deltas: DataFrame) -> DataFrame:
+    """Code lines added, removed, net and left alone."""
+    return _net(deltas.agg(*_churn()))
+
+
+def change_counts(deltas: DataFrame) -> DataFrame:
+    """`status_counts` and `line_churn` in one row and one pass."""
+    return _net(deltas.agg(*_counts(), *_churn()))
+
+
 def summary_delta(runs: DataFrame, baseline_id: str, current_id: str) -> DataFrame:
     """Totals of two runs side by side; the total is in physical lines."""
     fields = {

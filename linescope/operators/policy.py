@@ -132,9 +132,14 @@ def _stop(rule: str, behavior: str, message: str) -> Column:
     return F.lit(rule)
 
 
-def content_rules(files: DataFrame, settings: Settings) -> DataFrame:
+def content_rules(files: DataFrame, settings: Settings, stop_early: bool = True) -> DataFrame:
     """Complete `rule` from the content, and replace the content by `encoding`,
-    `text`, `decode_warnings` and `language` of the files that remain."""
+    `text`, `decode_warnings` and `language` of the files that remain.
+
+    Where the settings ask to fail, the first such file ends the job; without
+    `stop_early` it only gets its rule, for a gate to count.
+    """
+    stop = _stop if stop_early else lambda rule, behavior, message: F.lit(rule)
     analysis, path, content = settings.analysis, F.col("path"), F.col("content")
     open_ = F.col("rule").isNull()
     by_bytes = (
@@ -142,7 +147,7 @@ def content_rules(files: DataFrame, settings: Settings) -> DataFrame:
         .when(is_vendor(path) & F.lit(analysis.vendor_directory_detection), "vendor")
         .when(F.lit(analysis.generated_file_detection) & looks_generated(path, content, analysis.generated_sample_bytes), "generated")
         .when(F.lit(analysis.minified_file_detection) & looks_minified(path, content, analysis.minified_sample_bytes), "minified")
-        .when(is_binary(content, analysis.binary_sample_bytes), _stop("binary", analysis.binary_file_behavior, "binary file encountered: "))
+        .when(is_binary(content, analysis.binary_sample_bytes), stop("binary", analysis.binary_file_behavior, "binary file encountered: "))
     )
     decoded = (
         files.withColumn("rule", F.when(open_, by_bytes).otherwise(F.col("rule")))
@@ -150,7 +155,7 @@ def content_rules(files: DataFrame, settings: Settings) -> DataFrame:
         .withColumn("text", F.when(open_, decode.text(content, F.col("encoding"))))
         .withColumn("decode_warnings", F.when(open_, decode.warnings(content, F.col("encoding"), F.col("text"))))
     )
-    failed = _stop("decode_error", analysis.decode_failure_behavior, "decode failure for ")
+    failed = stop("decode_error", analysis.decode_failure_behavior, "decode failure for ")
     language = detect_language(
         path, first_line(F.col("text")), settings.extension_languages(), analysis.shebang_detection
     )

@@ -13,6 +13,7 @@ from linescope.operators.languages import enum_order
 from linescope.operators.warnings import numbered
 
 ANALYZED = ["analyzed_exact", "analyzed_best_effort"]
+_SUMMED = ["total_physical_lines", "code_lines", "comment_lines", "blank_lines", "mixed_lines_separate"]
 
 
 def is_analyzed() -> Column:
@@ -65,15 +66,20 @@ def language_totals(records: DataFrame, *keys: str) -> DataFrame:
 
 def submodule_totals(records: DataFrame, submodules: DataFrame, *keys: str) -> DataFrame:
     """Totals per submodule that has files, with its place in .gitmodules."""
-    order = submodules.groupBy(F.col("name").alias("submodule")).agg(
-        F.min(F.struct("ord", F.col("path").alias("relative_path"))).alias("_first")
-    )
     totals = (
         analyzed(records)
         .where(F.col("submodule").isNotNull())
         .groupBy(*keys, "submodule")
         .agg(F.count("*").alias("files_analyzed"), *_sums(mixed=False))
     )
+    return _placed(totals, submodules, *keys)
+
+
+def _placed(totals: DataFrame, submodules: DataFrame, *keys: str) -> DataFrame:
+    """Totals with the path and place of their submodule."""
+    order = submodules.groupBy(F.col("name").alias("submodule")).agg(
+        F.min(F.struct("ord", F.col("path").alias("relative_path"))).alias("_first")
+    )
     return totals.join(order, "submodule").select(
         *keys, "submodule", "_first.relative_path", *totals.columns[len(keys) + 1:], "_first.ord"
     )
@@ -105,6 +111,65 @@ def submodule_run(records: DataFrame, submodules: DataFrame, name: str) -> DataF
     )
 
 
+# Rows of `all_totals`: what a row stands for.
+LEVELS = ["run", "language", "submodule", "submodule_language"]
+
+
+def all_totals(records: DataFrame, *keys: str) -> DataFrame:
+    """Totals of runs, languages, submodules and languages of submodules from one
+    aggregate over grouping sets: one scan and one shuffle.
+
+    `level` says what a row stands for; the columns it does not have are null.
+    The result has a row for each of these things, so it can be kept (a
+    checkpoint, a saved table) and the `..._level` functions taken from it.
+    """
+    marks = {"language": F.when(is_analyzed(), F.col("language")), "submodule": F.when(is_analyzed(), F.col("submodule"))}
+    marked = records.withColumns(marks)
+    sets = [[*keys], [*keys, "language"], [*keys, "submodule"], [*keys, "submodule", "language"]]
+    level = (
+        F.when(F.grouping("language") + F.grouping("submodule") == 2, LEVELS[0])
+        .when(F.grouping("submodule") == 1, LEVELS[1])
+        .when(F.grouping("language") == 1, LEVELS[2])
+        .otherwise(LEVELS[3])
+    )
+    totals = marked.groupingSets(sets, *keys, "language", "submodule").agg(
+        level.alias("level"),
+        F.count("*").alias("files_considered"),
+        F.count_if(is_analyzed()).alias("files_analyzed"),
+        F.count_if(~is_analyzed()).alias("files_skipped"),
+        *_sums(is_analyzed()),
+    )
+    # Skipped files have no language and files outside of submodules no submodule;
+    # these groups count at the run alone.
+    whole = F.col("level") == LEVELS[0]
+    in_submodule = (F.col("level") == LEVELS[1]) | F.col("submodule").isNotNull()
+    return totals.where(whole | ((F.col("files_analyzed") > 0) & in_submodule))
+
+
+def run_level(totals: DataFrame, *keys: str) -> DataFrame:
+    """`run_totals` from `all_totals`."""
+    shown = ["files_considered", "files_analyzed", "files_skipped", *_SUMMED]
+    return totals.where(F.col("level") == LEVELS[0]).select(*keys, *shown)
+
+
+def language_level(totals: DataFrame, *keys: str) -> DataFrame:
+    """`language_totals` from `all_totals`."""
+    return totals.where(F.col("level") == LEVELS[1]).select(
+        *keys, "language", F.col("files_analyzed").alias("files"), *_SUMMED, enum_order(F.col("language")).alias("enum_order")
+    )
+
+
+def submodule_level(totals: DataFrame, submodules: DataFrame, *keys: str) -> DataFrame:
+    """`submodule_totals` from `all_totals`."""
+    counted = totals.where(F.col("level") == LEVELS[2]).select(*keys, "submodule", "files_analyzed", *_SUMMED[:-1])
+    return _placed(counted, submodules, *keys)
+
+
+def submodule_language_level(totals: DataFrame, *keys: str) -> DataFrame:
+    """`submodule_language_totals` from `all_totals`."""
+    return totals.where(F.col("level") == LEVELS[3]).select(*keys, "submodule", "language", F.col("files_analyzed").alias("files"), *_SUMMED)
+
+
 def quality_gate(records: DataFrame, fail_on_warnings: bool = False, fail_below: int | None = None) -> DataFrame:
     """One row per requested check: exit code, whether it passed, value, limit."""
     values = records.agg(

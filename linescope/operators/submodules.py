@@ -49,22 +49,25 @@ def section_lines(files: DataFrame, *keys: str, text: str = "text") -> DataFrame
 def tag_submodule(records: DataFrame, submodules: DataFrame, *keys: str) -> DataFrame:
     """Set `submodule` to the first submodule, in file order, holding the file.
 
-    `keys` (at least one) name the repository or run a submodule belongs to.
-    The definitions of one repository are gathered into one array (a
-    .gitmodules file bounds it), so each file meets at most one row and is
-    neither multiplied nor grouped again.  All files of a run share one key:
-    Spark broadcasts definitions below its byte threshold and otherwise splits
-    the hot keys of the left side.
+    `keys` (at least one) name the repository or run a submodule belongs to.  A
+    file is joined by its directories to submodules whose paths are as deep, one
+    equi-join for each depth that submodules have, so each file meets at most one
+    row a join, the records are read once, and submodules may be many.  Spark
+    broadcasts definitions below its byte threshold and otherwise splits the
+    hot keys of the left side.
     """
-    entry = F.struct("ord", "name", F.replace("path", F.lit("\\"), F.lit("/")).alias("path"))
-    lists = submodules.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_submodules"))
+    path = F.replace("path", F.lit("\\"), F.lit("/"))
+    defined = submodules.select(*keys, path.alias("_holder"), F.size(F.split(path, "/")).alias("_depth"), F.struct("ord", "name").alias("_entry"))
+    depths = sorted(row[0] for row in defined.select("_depth").distinct().collect() if row[0] > 0)  # no more than a path is deep
     rel = F.col("relative_path")
-    holders = F.filter(
-        "_submodules",
-        lambda s: (rel == s["path"]) | F.startswith(rel, F.concat(s["path"], F.lit("/"))),
-    )
-    return (
-        records.join(lists, list(keys), "left")
-        .withColumn("submodule", F.try_element_at(holders, F.lit(1))["name"])
-        .drop("_submodules")
-    )
+    parts = F.split(rel, "/")
+    columns = [name for name in records.columns if name != "submodule"]
+    tagged = records.select(*columns)
+    for depth in depths:
+        side = defined.where(F.col("_depth") == depth).groupBy(*keys, "_holder").agg(F.min("_entry").alias(f"_at_{depth}"))
+        # A path that is not as deep is no such directory: it keeps a key of its own.
+        holder = F.when(F.size(parts) >= depth, F.array_join(F.slice(parts, 1, depth), "/")).otherwise(rel)
+        tagged = tagged.withColumn("_holder", holder).join(side, [*keys, "_holder"], "left").drop("_holder")
+    first = F.array_min(F.array_compact(F.array(*[F.col(f"_at_{depth}") for depth in depths]))) if depths else None
+    name = first["name"] if depths else F.lit(None).cast("string")
+    return tagged.select(*[name.alias("submodule") if column == "submodule" else column for column in records.columns])

@@ -24,13 +24,15 @@ def analyze_files(
     settings: Settings | None = None,
     run_id: str | Column = "",
     ignore_files: DataFrame | None = None,
+    stop_early: bool = True,
 ) -> DataFrame:
     """File records of a file table: one narrow stage, no shuffle.
 
     `run_id` is a value, or a column of the file table when it holds several
-    runs.  `ignore_files` (dir, text) are the ignore files of the root; they
-    are a separate small table, so honoring them does not read the contents of
-    all files a second time.
+    runs.  `ignore_files` (dir, kind, text and, with several, root) are the ignore
+    files of the roots; they are a separate small table, so honoring them does
+    not read the contents of all files a second time.  `stop_early=False` leaves
+    files that the settings do not allow to a `Gate`.
     """
     settings = settings or Settings()
     analysis = settings.analysis
@@ -38,7 +40,7 @@ def analyze_files(
         files = visible(files)
     if settings.discovery.honor_ignore_files and ignore_files is not None:
         files = apply_ignore_rules(files, parse_ignore_files(ignore_files))
-    selected = content_rules(path_rules(files, settings), settings)
+    selected = content_rules(path_rules(files, settings), settings, stop_early)
     classified = classify(selected).withColumn("raw", raw_counts(F.col("line_codes")))
     open_ = F.col("rule").isNull()
     block, string = F.col("unclosed_block"), F.col("unclosed_string")

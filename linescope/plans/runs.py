@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linescope.functions.text import project_label as label_of
-from linescope.operators.delta import file_delta, line_churn, status_counts
+from linescope.operators.delta import change_counts, file_delta
 from linescope.operators.history import TOTALS, register_run, with_json
 from linescope.operators.rollup import analyzed, run_totals
 from linescope.schemas import RUNS
+from linescope.session import checkpoint_dir
 from linescope.settings import Settings
 
 _FACTS = ", ".join(part for part in RUNS.split(", ") if part.split(" ")[0] not in TOTALS)
@@ -60,15 +61,17 @@ class Scan(NamedTuple):
     history: DataFrame  # the history with the run registered
 
 
-def previous_run(run: DataFrame, runs: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The newest earlier run of the same roots whose JSON exists, and the
-    number of such runs.  Aggregates with partial maxima, no sort."""
+def previous_run(run: DataFrame, runs: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, int]:
+    """The newest earlier run of the same roots whose JSON exists, as no or one
+    row, and the number of such runs.  One aggregate with partial maxima, run
+    now: what it gives is one row."""
     own = run.select("input_roots", F.col("timestamp_utc").alias("_now"), F.col("run_id").alias("_id"))
     earlier = with_json(runs, artifacts).where("has_json").join(own, "input_roots")
     earlier = earlier.where((F.col("timestamp_utc") < F.col("_now")) & (F.col("run_id") != F.col("_id")))
     newest = F.max_by(F.struct(*runs.columns), F.struct("timestamp_utc", "run_id"))
-    found = earlier.agg(newest.alias("_run")).where(F.col("_run").isNotNull()).select("_run.*")
-    return found, earlier.agg(F.count("*").alias("earlier"))
+    found = earlier.agg(newest.alias("run"), F.count("*").alias("earlier")).first()
+    rows = [tuple(found["run"])] if found["run"] is not None else []
+    return runs.sparkSession.createDataFrame(rows, runs.schema), found["earlier"]
 
 
 def scan_with_history(
@@ -77,27 +80,29 @@ def scan_with_history(
     """Compare and register a run of one row of facts.
 
     `saved` are the saved file records of all runs, by run; only the partitions
-    of this run and the one before are read.
+    of this run and the one before are read.  The history is read once for the
+    run before, and the change of every file is worked out once and kept.
     """
+    checkpoint_dir(saved.sparkSession)
     run_id = facts.first()["run_id"]
     current = saved.where(F.col("run_id") == run_id)
     run = run_rows(current, facts)
-    previous, earlier = previous_run(run, runs, artifacts)
-    before = previous.select("run_id").first()  # one id
-    changes = [F.col(name) - previous.select(name).scalar() for name in TOTALS]
+    previous, earlier = previous_run(facts, runs, artifacts)
+    before = previous.first()  # no or one row, held by the driver
+    totals_before = {name: before[name] if before else None for name in TOTALS}
     summary = run.select(
         "run_id",
         "project_label",
-        previous.select("run_id").scalar().alias("prev_run_id"),
-        (earlier.scalar() + 1).alias("scan_number"),
+        F.lit(before["run_id"] if before else None).cast("string").alias("prev_run_id"),
+        F.lit(earlier + 1).cast("bigint").alias("scan_number"),
         *TOTALS,
-        *[change.alias(f"{name}_change") for name, change in zip(TOTALS, changes)],
+        *[(F.col(name) - F.lit(value).cast("bigint")).alias(f"{name}_change") for name, value in totals_before.items()],
     )
     deltas = None
-    if before is not None:
+    if before:
         baseline = saved.where(F.col("run_id") == before["run_id"])
-        deltas = file_delta(analyzed(baseline), analyzed(current))
-        for facts_of in (status_counts(deltas), line_churn(deltas)):
-            row = facts_of.select(F.struct(*facts_of.columns)).scalar()
-            summary = summary.withColumn("_row", row).select(*summary.columns, "_row.*")
+        deltas = file_delta(analyzed(baseline), analyzed(current)).checkpoint()
+        counted = change_counts(deltas)
+        row = counted.select(F.struct(*counted.columns)).scalar()
+        summary = summary.withColumn("_row", row).select(*summary.columns, "_row.*")
     return Scan(run, previous, deltas, summary, register_run(runs, run))

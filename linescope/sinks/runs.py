@@ -3,23 +3,34 @@ file on the driver."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linescope.functions.text import utc_time_text
+from linescope.operators.gate import Gate
+from linescope.operators.history import register_run
 from linescope.operators.languages import json_name
 from linescope.operators.rollup import (
+    all_totals,
     analyzed,
+    language_level,
     language_totals,
+    run_level,
     run_totals,
     skipped,
-    submodule_language_totals,
-    submodule_totals,
+    submodule_language_level,
+    submodule_level,
 )
 from linescope.operators.delta import sort_deltas, status_counts
+from linescope.schemas import FILE_RECORDS
+from linescope.session import checkpoint_dir
+from linescope.sources.runs import read_registry
+from linescope.versions import latest_version, write_version
 
 
 def run_id(now: datetime | None = None) -> str:
@@ -153,28 +164,77 @@ def write_diff_json(summary: DataFrame, deltas: DataFrame, path: str) -> None:
     sort_deltas(deltas).write.mode("overwrite").json(f"{path}/file_deltas", ignoreNullFields=False)
 
 
-def save_records(records: DataFrame, path: str) -> DataFrame:
+def save_records(records: DataFrame, path: str, gate: Gate | None = None) -> DataFrame:
     """Write file records by run and return them as saved.
 
     Analysis is the costly step: every sort, list and export that follows
     should start from what this returns.  A run that is saved again replaces
-    its rows.
+    its rows.  A `gate` is fed while the records are written and needs no pass
+    of its own; ask it afterwards.
     """
     spark = records.sparkSession
-    _by_run(records, f"{path}/file_records")
+    _by_run(records if gate is None else gate.watch(records), f"{path}/file_records")
     return spark.read.schema(records.schema).parquet(f"{path}/file_records").select(*records.columns)
 
 
+def save_bucketed(records: DataFrame, path: str, run: str, buckets: int) -> DataFrame:
+    """Write the records of one run in buckets by relative path, sorted, and
+    return them as saved.  Runs with as many buckets are compared without
+    moving their records (`file_delta`)."""
+    name = _bucketed_name(path, run, buckets)
+    spark = records.sparkSession
+    spark.sql(f"drop table if exists {name}")
+    place = _bucketed_path(path, run, buckets)
+    columns = records.select(*[field.split(" ")[0] for field in _top_fields(FILE_RECORDS)])
+    # One task a bucket, so a bucket is one sorted file.
+    dealt = columns.where(F.col("run_id") == run).repartition(buckets, "relative_path")
+    dealt.write.bucketBy(buckets, "relative_path").sortBy("relative_path").mode("overwrite").option("path", place).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, run: str, buckets: int) -> DataFrame:
+    """The records that `save_bucketed` wrote, in any session."""
+    name = _bucketed_name(path, run, buckets)
+    spark.sql(
+        f"create table if not exists {name} ({FILE_RECORDS}) using parquet "
+        f"clustered by (relative_path) sorted by (relative_path) into {buckets} buckets location '{_bucketed_path(path, run, buckets)}'"
+    )
+    return spark.table(name)
+
+
+def _bucketed_path(path: str, run: str, buckets: int) -> str:
+    return f"{path}/run={hashlib.sha256(run.encode()).hexdigest()[:32]}/buckets={buckets}"
+
+
+def _bucketed_name(path: str, run: str, buckets: int) -> str:
+    return "records_" + hashlib.sha256(f"{path}|{run}|{buckets}".encode()).hexdigest()[:32]
+
+
+def _top_fields(shape: str) -> list[str]:
+    """Fields of a schema, those inside of structs left whole."""
+    fields, depth = [""], 0
+    for char in shape:
+        depth += (char == "<") - (char == ">")
+        if char == "," and not depth:
+            fields.append("")
+        else:
+            fields[-1] += char
+    return [field.strip() for field in fields]
+
+
 def _by_run(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def write_run_tables(records: DataFrame, path: str) -> DataFrame:
     """File records and totals as parquet, by run; returns the saved records.
-    A run that is saved again replaces its rows in all three tables."""
+    A run that is saved again replaces its rows in all three tables.  The
+    records are read once for the totals."""
+    checkpoint_dir(records.sparkSession)
     saved = save_records(records, path)
-    _by_run(language_totals(saved, "run_id"), f"{path}/language_totals")
-    _by_run(run_totals(saved, "run_id"), f"{path}/run_totals")
+    totals = all_totals(saved, "run_id").checkpoint()
+    _by_run(language_level(totals, "run_id"), f"{path}/language_totals")
+    _by_run(run_level(totals, "run_id"), f"{path}/run_totals")
     return saved
 
 
@@ -230,10 +290,13 @@ def write_run_document(
     and warnings are not bounded and stay rows.  `submodules` (ord, name, path)
     are the definitions the records were tagged with.
     """
+    checkpoint_dir(records.sparkSession)
     env = environment or {}
+    counted = all_totals(records.select("status", "language", "submodule", "raw", "effective")).checkpoint()
     fields = ("operating_system", "architecture", "runtime_mode", "initiator_username", "initiator_hostname")
-    totals = run_totals(records)
-    languages = language_totals(records).withColumn("language", json_name(F.col("language")))
+    totals = run_level(counted)
+    nothing = F.struct(*[F.lit(0).cast("bigint").alias(name) for name in totals.columns])  # a run without files
+    languages = language_level(counted).withColumn("language", json_name(F.col("language")))
     shown = [name for name in languages.columns if name != "enum_order"]
     rows = F.array_sort(F.collect_list(F.struct("enum_order", *shown)))
     by_language = languages.agg(F.transform(rows, lambda r: r.dropFields("enum_order"))).scalar()
@@ -242,7 +305,7 @@ def write_run_document(
         F.struct(*[F.lit(env.get(name)).cast("string").alias(name) for name in fields]).alias("environment"),
         F.col("settings_json").alias("effective_configuration"),
         "input_roots",
-        totals.select(F.struct(*totals.columns)).scalar().alias("summary_totals"),
+        F.coalesce(totals.select(F.struct(*totals.columns)).scalar(), nothing).alias("summary_totals"),
         by_language.alias("totals_by_language"),
         F.col("git_commit").alias("git_commit_long"),
         F.substring("git_commit", 1, 7).alias("git_commit_short"),
@@ -251,11 +314,11 @@ def write_run_document(
         "git_tags",
     )
     if submodules is not None:
-        inner = submodule_language_totals(records).withColumn("language", json_name(F.col("language")))
+        inner = submodule_language_level(counted).withColumn("language", json_name(F.col("language")))
         nested = inner.groupBy("submodule").agg(
             F.array_sort(F.collect_list(F.struct(*[name for name in inner.columns if name != "submodule"]))).alias("language_summaries")
         )
-        outer = submodule_totals(records, submodules).join(nested, "submodule")
+        outer = submodule_level(counted, submodules).join(nested, "submodule")
         row = F.struct("ord", F.col("submodule").alias("name"), *[name for name in outer.columns if name not in ("submodule", "ord")])
         summaries = outer.agg(F.array_sort(F.collect_list(row)).alias("s")).select(F.transform("s", lambda r: r.dropFields("ord"))).scalar()
         document = document.withColumn("submodule_summaries", summaries)
@@ -273,6 +336,33 @@ def trend_languages(records: DataFrame, *keys: str) -> DataFrame:
     return language_totals(records, *keys).select(*keys, json_name(F.col("language")).alias("language"), "code_lines")
 
 
-def save_registry(runs: DataFrame, path: str) -> None:
-    """Write the history as a new version; readers switch by path."""
-    runs.write.mode("overwrite").parquet(path)
+def save_registry(runs: DataFrame, path: str) -> int:
+    """Write the history as the next version and return its number.  `runs` may
+    come from an older version at the same path.
+
+    What others registered since `runs` was read is replaced with the rest; see
+    `update_registry` for a change on top of whatever is there.
+    """
+    spark = runs.sparkSession
+    while True:
+        number = latest_version(spark, path) + 1
+        if write_version(runs, path, number):
+            return number
+
+
+def update_registry(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], attempts: int = 20) -> int:
+    """Save what `change` makes of the newest history, and return its version.
+
+    Writers do not wait for each other: one that finds its number taken reads
+    the newer history and makes its change again, so no registered run is lost.
+    """
+    for _ in range(attempts):
+        number = latest_version(spark, path)
+        if write_version(change(read_registry(spark, path, number)), path, number + 1):
+            return number + 1
+    raise RuntimeError(f"{path}: other writers came first {attempts} times")
+
+
+def add_runs(spark: SparkSession, path: str, new: DataFrame) -> int:
+    """Register runs in the saved history; one of the same id is replaced."""
+    return update_registry(spark, path, lambda runs: register_run(runs, new.select(*runs.columns)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from linescope.functions.paths import file_name, is_below, is_hidden, relative_path
 
 _READ_BYTES = 32 * 1024 * 1024
+_BUCKETS_A_TASK = 64
+_FILE_BYTES = 256  # what a file costs beside its content
 
 
 def spread(rows: DataFrame, partitions: int | None) -> DataFrame:
@@ -22,6 +25,27 @@ def spread(rows: DataFrame, partitions: int | None) -> DataFrame:
     return rows if partitions is None else rows.repartition(partitions)
 
 
+def spread_bytes(files: DataFrame, partitions: int) -> DataFrame:
+    """Deal files to `partitions` tasks of about equal bytes.
+
+    Paths are hashed to some dozens of buckets a task.  The bytes of the buckets,
+    the only thing that is gathered, decide which task each belongs to: the
+    heaviest goes to the task that has least.  Contents are moved once, straight
+    to their task.
+    """
+    buckets = partitions * _BUCKETS_A_TASK
+    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+    weight = F.coalesce("size_bytes", F.lit(0)) + _FILE_BYTES
+    weights = dict(files.groupBy(bucket.alias("bucket")).agg(F.sum(weight).alias("bytes")).collect())  # one row a bucket
+    tasks = [(0, task) for task in range(partitions)]
+    home = [0] * buckets
+    for place in sorted(weights, key=lambda b: (-weights[b], b)):
+        held, task = heapq.heappop(tasks)
+        home[place] = task
+        heapq.heappush(tasks, (held + weights[place], task))
+    return files.repartitionById(partitions, F.get(F.lit(home), bucket))
+
+
 def from_table(corpus: DataFrame, root: str | Column, *keep: str) -> DataFrame:
     """Files of a corpus table (path, content and, when stored, size_bytes and
     is_symlink) below a root; `keep` names columns to carry along."""

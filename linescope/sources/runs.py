@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linescope.operators.languages import enum_order, from_json_name
 from linescope.schemas import FILE_ROW, RUN_DOCUMENT, RUN_JSON, RUNS
+from linescope.versions import latest_version, version_path
 
 
 def read_run_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -76,10 +77,15 @@ def run_languages(runs: DataFrame) -> DataFrame:
     )
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The run history; empty when nothing was saved at `path`."""
+def read_registry(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The run history, of the newest version unless one is named; empty when
+    nothing was saved at `path` (version 0).  A plain folder without versions is
+    read as it is."""
+    number = latest_version(spark, path) if version is None else version
+    if number:
+        return spark.read.schema(RUNS).parquet(version_path(spark, path, number))
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], RUNS)
-    return spark.read.schema(RUNS).parquet(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    plain = files.exists(place) and not files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/data"))
+    return spark.read.schema(RUNS).parquet(path) if plain else spark.createDataFrame([], RUNS)
