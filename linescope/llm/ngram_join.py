@@ -10,7 +10,8 @@ partial counts are summed.
 2. Two linked sets share one of the first r - ceil(0.75 n) + 1 shared n-grams
    of both (r: how many a set has).  Every set is compared with one hub: the
    set most of these point to.  That joins large groups of near copies without
-   expanding their pairs.
+   expanding their pairs.  Where a hub links only a part of a group, turns of
+   comparisons between the parts and ever other sets of the largest one follow.
 3. What is left are pairs that share such an n-gram across two groups; length
    and position filters thin them, and all of them are verified.  A pair inside
    one group needs no look: it cannot change a component.
@@ -34,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linescope.llm.components import components
+from linescope.llm.line_dedup import mark_of
 from linescope.llm.set_join import NONE, Items, candidate_sets, lengths_fit, places_fit, prefixes, set_name, similar
-from linescope.llm.storage import saved
+from linescope.llm.storage import free_name, saved
 from linescope.llm.words import windows, word_hashes
 
 
@@ -47,15 +49,16 @@ def gram_set(text: str | None, size: int) -> np.ndarray:
 
 
 def _documents(batch: pa.RecordBatch, size: int) -> Iterator[Items]:
-    """The set of each document; notes (doc_id, 0, 0)."""
+    """The set of each document; notes (doc_id, mark of the text, 0)."""
     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         doc_id = NONE if doc_id is None else doc_id
+        mark = mark_of((text or "").encode("utf-8", "surrogatepass"))
         grams = gram_set(text, size)
         if len(grams):
             name = set_name(grams)
-            yield [(name, grams)], [(doc_id, 0, 0, name)]
+            yield [(name, grams)], [(doc_id, mark, 0, name)]
         else:
-            yield [], [(doc_id, 0, 0, None)]
+            yield [], [(doc_id, mark, 0, None)]
 
 
 def fragments_of(nodes: DataFrame, fragments: int) -> DataFrame:
@@ -105,14 +108,13 @@ def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Links (a, b) between different sets; enough to give every component."""
     segments = fragments_of(nodes, fragments)
-    postings = saved(prefixes(nodes, percent))
     shared = (F.col("n") - F.col("unshared")).alias("r")
-    by_gram = postings.select("node", "n", shared, "gram")
     # The likeliest centre of a group has the fewest n-grams of its own.
     own = F.floor(64 * F.col("unshared") / F.col("n")).alias("own")
-    hubs = postings.groupBy("gram").agg(F.min(F.struct(own, F.xxhash64("node").alias("mark"), "node", "n", shared)).alias("hub"))
+    postings = saved(prefixes(nodes, percent).select("node", "n", shared, own, "place", "gram"))
+    hubs = postings.groupBy("gram").agg(F.min(F.struct("own", F.xxhash64("node").alias("mark"), "node", "n", "r")).alias("hub"))
     votes = (
-        by_gram.join(hubs, "gram")
+        postings.join(hubs, "gram")
         .filter(F.col("node") != F.col("hub.node"))
         .groupBy(
             F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"),
@@ -124,21 +126,80 @@ def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     star = votes.groupBy("a", "n_a", "r_a").agg(F.max(F.struct("votes", "b", "n_b", "r_b")).alias("top"))
     star = star.select("a", "n_a", "r_a", "top.b", "top.n_b", "top.r_b")
     found = saved(verified(star, segments, percent))
-    groups = saved(components(found))
+    groups = saved(_regrouped(nodes.select("node", F.col("node").alias("root")), components(found)))
+    return _joined_groups(postings, found, groups, segments, percent)
 
-    grouped = postings.select("node", "n", shared, "place", "gram").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = grouped.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
-    rest = saved(grouped.join(mixed, "gram"))
+
+def _regrouped(groups: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, root) with the roots that `merged` (node, root) gives to them."""
+    side = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return groups.join(side, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+
+
+def _heads(postings: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """Of every n-gram and group the number of its sets and one of them; another
+    one at every turn."""
+    head = F.struct("own", F.xxhash64(F.lit(turn), "node").alias("mark"), "node", "n", "r")
+    return postings.join(groups, "node").groupBy("gram", "root").agg(F.count("*").alias("sets"), F.min(head).alias("head"))
+
+
+def _joined_groups(postings: DataFrame, found: DataFrame, groups: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """`found` and more links, until no n-gram hides a link between two groups.
+
+    Turns of stars come first: every group is compared with a set of the largest
+    group that it shares most n-grams with, one pair a group.  They go on while
+    they join groups and the pairs left to look at, which the counts of the
+    n-grams tell, are more than the postings.  Then those pairs are expanded.
+    """
+    sets, before, turn = postings.count(), None, 1
+    while True:
+        heads = saved(_heads(postings, groups, turn))
+        several = heads.groupBy("gram").agg(
+            F.sum("sets").alias("all"), F.sum(F.col("sets") * F.col("sets")).alias("own"), F.max(F.struct("sets", "root", "head")).alias("top"), F.count("*").alias("roots")
+        )
+        several = saved(several.filter("roots > 1"))
+        pairs = several.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0]
+        if pairs is None:
+            return found
+        if pairs <= sets or (before is not None and pairs > 0.9 * before):
+            break
+        before, turn = pairs, turn + 1
+        met = heads.join(several.select("gram", "top"), "gram").filter(F.col("root") != F.col("top.root"))
+        votes = (
+            met.groupBy(
+                "root", F.col("head.node").alias("a"), F.col("head.n").alias("n_a"), F.col("head.r").alias("r_a"),
+                F.col("top.head.node").alias("b"), F.col("top.head.n").alias("n_b"), F.col("top.head.r").alias("r_b"),
+            )
+            .agg(F.count("*").alias("votes"))
+            .filter(lengths_fit(percent))
+        )
+        star = votes.groupBy("root").agg(F.max(F.struct("votes", "a", "n_a", "r_a", "b", "n_b", "r_b")).alias("pair")).select("pair.*").drop("votes")
+        more = saved(verified(star, segments, percent))
+        ends = more.join(groups.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(
+            groups.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b"
+        )
+        merged = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        found, groups = found.union(more), saved(_regrouped(groups, merged))
+    rest = saved(postings.join(several.select("gram"), "gram", "left_semi").join(groups, "node"))
     one = rest.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "r", "place", "root")))
     two = rest.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "r", "place", "root")))
-    pairs = (
+    crossing = (
         one.join(two, "gram")
         .filter("root_a < root_b")
         .filter(lengths_fit(percent) & places_fit(percent))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "r_a", "r_b")
         .distinct()
     )
-    return found.union(verified(pairs, segments, percent))
+    return found.union(verified(crossing, segments, percent))
+
+
+def _placed(docs: DataFrame, size: int, percent: int, fragments: int) -> DataFrame:
+    """Of every document doc_id, mark of its text, n_shingles and root of its
+    component; root is null without words."""
+    nodes, notes = candidate_sets(docs.select("doc_id", "text"), lambda b: _documents(b, size), percent, ["doc_id", "mark", "nil"])
+    roots = components(links(nodes, percent, fragments)).select(F.col("node").alias("linked"), "root")
+    placed = notes.join(roots, F.col("node") == F.col("linked"), "left")
+    return placed.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 8) -> DataFrame:
@@ -147,22 +208,32 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, fragment
 
     Two documents link when 100 * intersection >= percent * union.
     """
-    nodes, notes = candidate_sets(docs.select("doc_id", "text"), lambda b: _documents(b, size), percent, ["doc_id", "zero", "nil"])
-    roots = components(links(nodes, percent, fragments)).select(F.col("node").alias("linked"), "root")
-    placed = notes.join(roots, F.col("node") == F.col("linked"), "left")
-    placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+    placed = _placed(docs, size, percent, fragments).drop("mark")
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """`docs` with one document of each component: the one of the smallest
-    doc_id; documents without words all stay."""
-    found = ngram_components(docs, size, percent)
-    found = saved(found)
-    others = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    # Rows that repeat an id are few or none; only they are looked at again.
-    again = found.filter("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-    once = docs.join(others.union(again), "doc_id", "left_anti")
-    return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 8) -> DataFrame:
+    """`docs` with one row of each component: the one of the smallest doc_id, a
+    null one last, then of the smallest mark of the text; documents without
+    words all stay.  A row is known by doc_id and text, so another text under a
+    repeated id is judged by itself; of rows equal in both one stays."""
+    placed = saved(_placed(docs, size, percent, fragments).filter("root is not null"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    kept = placed.groupBy("root").agg(F.min(row).alias("first")).select("root", "first.doc_id", "first.mark")
+    # Rows of a component but its first; and firsts that are there more than once.
+    rows = placed.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    first = kept.select(F.col("root").alias("its_root"), F.col("doc_id").alias("first_id"), F.col("mark").alias("first_mark"))
+    judged = saved(
+        rows.join(first, F.col("root") == F.col("its_root")).select(
+            F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "rows",
+            (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))).alias("stays"),
+        )
+    )
+    known = lambda side: docs["doc_id"].eqNullSafe(side["own_id"]) & (F.xxhash64(docs["text"]) == side["own_mark"])
+    gone = judged.filter("not stays or rows > 1").select("own_id", "own_mark")
+    again = judged.filter("stays and rows > 1").select("own_id", "own_mark")
+    mark = free_name(docs, "mark")
+    one = docs.join(again, known(again), "left_semi").withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
+    return docs.join(gone, known(gone), "left_anti").unionByName(one)
