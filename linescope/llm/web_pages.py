@@ -101,6 +101,7 @@ def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order, with white space settled."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, skipped, clutter, number of the marked element
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
     pieces: list[str] = []
     skipped = clutter = False
     marked = count = links = depth = breaks = 0
@@ -114,6 +115,14 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
         links = 0
 
+    def leave(place: int) -> None:
+        """Close the element at a place of the stack and all inside of it."""
+        nonlocal skipped, clutter, marked
+        _, skipped, clutter, marked = stack[place]
+        for name, *_ in stack[place:]:
+            open_at[name].pop()
+        del stack[place:]
+
     def add(raw: str) -> None:
         nonlocal links, breaks
         if skipped or not raw:
@@ -154,20 +163,19 @@ def blocks_of(page: str) -> list[Block]:
             breaks = 0
         if token["end"]:
             depth = 0 if tag in BLOCK_TAGS else depth
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK_TAGS and clutter != stack[k][2]:
-                        close()
-                    _, skipped, clutter, marked = stack[k]
-                    del stack[k:]
-                    break
-                if stack[k][0] in MARKED_TAGS and tag in ("p", "li", "span"):
-                    break
+            if not open_at.get(tag):
+                continue
+            k = open_at[tag][-1]
+            if tag in ("p", "li", "span") and any(open_at.get(name) and open_at[name][-1] > k for name in MARKED_TAGS):
+                continue
+            if tag not in BLOCK_TAGS and clutter != stack[k][2]:
+                close()
+            leave(k)
             continue
         if token["rest"].endswith("/") and tag not in BLOCK_TAGS:
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-            _, skipped, clutter, marked = stack.pop()
+            leave(len(stack) - 1)
         ended = _RAW_END.get(tag)
         if ended:
             tail = ended.search(page, place)
@@ -176,6 +184,7 @@ def blocks_of(page: str) -> list[Block]:
         bad = is_clutter(tag, token["rest"], bool(marked))
         if bad and not clutter and tag not in BLOCK_TAGS:
             close()
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append((tag, skipped, clutter, marked))
         skipped = skipped or tag in SKIPPED_TAGS or tag == "head"
         clutter = clutter or bad
