@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from linescope.llm.storage import python_tasks, saved
+from linescope.llm.storage import free_name, python_tasks, saved
 from linescope.llm.words import blocks, mixed
 
 SLOTS = 1 << 15
@@ -222,13 +222,14 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, max_labels: int
     choice, _ = choose(docs, labels, seed, max_labels)
     model = choice.model or Model(np.zeros(SLOTS, np.float32), -np.inf)
     ratio = docs.sparkSession.sparkContext.broadcast(model.ratio)
+    weight = free_name(docs, "log_weight")
+    at = docs.columns.index("text")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = pa.array([log_weight(slots_of(text), ratio.value) for text in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "log_weight"])
+            found = pa.array([log_weight(slots_of(text), ratio.value) for text in batch.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, weight])
 
-    schema = StructType(list(docs.schema.fields)).add("log_weight", "double")
-    rows = keyed(docs.mapInArrow(weigh, schema), seed)
-    return rows.filter(F.col("key") >= F.lit(choice.border)).select(*docs.columns)
+    schema = StructType(list(docs.schema.fields)).add(weight, "double")
+    rows = docs.mapInArrow(weigh, schema)
+    return rows.filter(F.col(weight) + noise(seed) >= F.lit(choice.border)).select(*docs.columns)

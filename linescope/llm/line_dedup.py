@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linescope.llm.set_join import NONE, Items, candidate_sets, lengths_fit, places_fit, prefixes, signed, similar
-from linescope.llm.storage import saved
+from linescope.llm.storage import free_name, saved
 from linescope.llm.words import line_words, mixed, windows
 
 SIZE = 5
@@ -148,19 +148,20 @@ def removed_lines(docs: DataFrame, percent: int = 75, shortest: int = SIZE) -> t
     return later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("place")).alias("removed_lines")), every
 
 
-def _with_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
-    """`_removed` of every row of `rows`, which has doc_id and _mark; null where
-    no line goes."""
-    side = removed.select(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_its_mark"), F.col("removed_lines").alias("_removed"))
-    here = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_mark") == F.col("_its_mark"))
-    return rows.join(side, here, "left").drop("_doc_id", "_its_mark")
+def _with_removed(rows: DataFrame, mark: Column, removed: DataFrame, name: str) -> DataFrame:
+    """The lines to remove of every row of `rows`, by doc_id and `mark`, as
+    `name`; null where no line goes."""
+    own, its = free_name(rows, "removed_doc_id"), free_name(rows, "removed_mark")
+    side = removed.select(F.col("doc_id").alias(own), F.col("mark").alias(its), F.col("removed_lines").alias(name))
+    here = F.col("doc_id").eqNullSafe(F.col(own)) & (mark == F.col(its))
+    return rows.join(side, here, "left").drop(own, its)
 
 
 def verdicts(docs: DataFrame, percent: int = 75, shortest: int = SIZE) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines of every document."""
     removed, every = removed_lines(docs, percent, shortest)
-    gone = F.coalesce("_removed", F.array().cast("array<bigint>"))
-    rows = _with_removed(every.withColumnRenamed("mark", "_mark"), removed)
+    gone = F.coalesce("removed_lines", F.array().cast("array<bigint>"))
+    rows = _with_removed(every, F.col("mark"), removed, "removed_lines")
     return rows.select("doc_id", "n_lines", F.size(gone).cast("bigint").alias("n_removed"), gone.alias("removed_lines"))
 
 
@@ -168,12 +169,13 @@ def dedup(docs: DataFrame, percent: int = 75, shortest: int = SIZE) -> DataFrame
     """`docs` without the removed lines; n_chars, where there is one, counts
     anew.  A document that loses lines and has no word left goes."""
     removed, _ = removed_lines(docs, percent, shortest)
-    rows = _with_removed(docs.withColumn("_mark", F.xxhash64("text")), removed)
+    name = free_name(docs, "removed_lines")
+    rows, gone = _with_removed(docs, F.xxhash64("text"), removed, name), F.col(name)
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("_removed", k.cast("bigint"))), "\n")
-    rows = rows.withColumn("text", F.when(F.col("_removed").isNotNull(), left).otherwise(F.col("text")))
-    rows = rows.filter(F.col("_removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains(gone, k.cast("bigint"))), "\n")
+    rows = rows.withColumn("text", F.when(gone.isNotNull(), left).otherwise(F.col("text")))
+    rows = rows.filter(gone.isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_removed").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+        rows = rows.withColumn("n_chars", F.when(gone.isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return rows.select(*docs.columns)

@@ -46,6 +46,14 @@ def saved(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """`name`, made longer until `rows` has no such column, in any case."""
+    taken = {column.lower() for column in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shipped(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that
     executors need no installation of their own."""
