@@ -10,8 +10,7 @@ partial counts are summed.
 2. Two linked sets share one of the first r - ceil(0.75 n) + 1 shared n-grams
    of both (r: how many a set has).  Every set is compared with one hub: the
    set most of these point to.  That joins large groups of near copies without
-   expanding their pairs.  Where a hub links only a part of a group, turns of
-   comparisons between the parts and ever other sets of the largest one follow.
+   expanding their pairs.
 3. What is left are pairs that share such an n-gram across two groups; length
    and position filters thin them, and all of them are verified.  A pair inside
    one group needs no look: it cannot change a component.
@@ -80,34 +79,35 @@ def fragments_of(nodes: DataFrame, fragments: int) -> DataFrame:
     return rows.filter(F.size("grams") > 0)
 
 
-def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Pairs (a, b) whose partial overlaps, summed over the fragments, reach
     `percent` of the union.  r is how many n-grams of a set others share.
 
-    The fragment of the rarest n-grams is counted first.  Pairs that could not
-    reach the overlap even if they shared all the rest end there.
+    The fragments are counted one after another, the rarest n-grams first.  After
+    each, pairs end that could not reach the overlap even if they shared all that
+    is left of the smaller set.
     """
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right"))
     size = lambda grams: F.coalesce(F.array_size(grams), F.lit(0))
-    rare = (
-        pairs.join(left.filter("fragment = 0").drop("fragment"), "a", "left")
-        .join(right.filter("fragment = 0").drop("fragment"), "b", "left")
-        .withColumn("partial", size(F.array_intersect("left", "right")))
-        .withColumn("most", F.col("partial") + F.least(F.col("r_a") - size(F.col("left")), F.col("r_b") - size(F.col("right"))))
-        .filter(F.expr(f"(100 + {percent}) * most >= {percent} * (n_a + n_b)"))
-        .select("a", "b", "n_a", "n_b", "partial")
-    )
-    rare = saved(rare)
-    rest = rare.drop("partial").join(left.filter("fragment > 0"), "a").join(right.filter("fragment > 0"), ["b", "fragment"])
-    rest = rest.select("a", "b", "n_a", "n_b", F.array_size(F.array_intersect("left", "right")).alias("partial"))
-    total = rare.union(rest).groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("overlap"))
-    return total.filter(similar("overlap", percent)).select("a", "b")
+    rows = pairs.select("a", "b", "n_a", "n_b", F.col("r_a").alias("left_a"), F.col("r_b").alias("left_b"), F.lit(0).alias("overlap"))
+    for fragment in range(fragments):
+        part = segments.filter(F.col("fragment") == fragment)
+        of_a = part.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
+        of_b = part.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
+        both = rows.join(of_a, "a", "left").join(of_b, "b", "left")
+        rows = both.select(
+            "a", "b", "n_a", "n_b",
+            (F.col("left_a") - size(F.col("grams_a"))).alias("left_a"),
+            (F.col("left_b") - size(F.col("grams_b"))).alias("left_b"),
+            (F.col("overlap") + size(F.array_intersect("grams_a", "grams_b"))).alias("overlap"),
+        )
+        most = F.col("overlap") + F.least("left_a", "left_b")
+        rows = rows.filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    return rows.filter(similar("overlap", percent)).select("a", "b")
 
 
 def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Links (a, b) between different sets; enough to give every component."""
-    segments = fragments_of(nodes, fragments)
+    segments = saved(fragments_of(nodes, fragments))
     shared = (F.col("n") - F.col("unshared")).alias("r")
     # The likeliest centre of a group has the fewest n-grams of its own.
     own = F.floor(64 * F.col("unshared") / F.col("n")).alias("own")
@@ -125,72 +125,22 @@ def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     )
     star = votes.groupBy("a", "n_a", "r_a").agg(F.max(F.struct("votes", "b", "n_b", "r_b")).alias("top"))
     star = star.select("a", "n_a", "r_a", "top.b", "top.n_b", "top.r_b")
-    found = saved(verified(star, segments, percent))
-    groups = saved(_regrouped(nodes.select("node", F.col("node").alias("root")), components(found)))
-    return _joined_groups(postings, found, groups, segments, percent)
-
-
-def _regrouped(groups: DataFrame, merged: DataFrame) -> DataFrame:
-    """(node, root) with the roots that `merged` (node, root) gives to them."""
-    side = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
-    return groups.join(side, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
-
+    found = saved(verified(star, segments, percent, fragments))
+    groups = saved(components(found))
 
-def _heads(postings: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
-    """Of every n-gram and group the number of its sets and one of them; another
-    one at every turn."""
-    head = F.struct("own", F.xxhash64(F.lit(turn), "node").alias("mark"), "node", "n", "r")
-    return postings.join(groups, "node").groupBy("gram", "root").agg(F.count("*").alias("sets"), F.min(head).alias("head"))
-
-
-def _joined_groups(postings: DataFrame, found: DataFrame, groups: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """`found` and more links, until no n-gram hides a link between two groups.
-
-    Turns of stars come first: every group is compared with a set of the largest
-    group that it shares most n-grams with, one pair a group.  They go on while
-    they join groups and the pairs left to look at, which the counts of the
-    n-grams tell, are more than the postings.  Then those pairs are expanded.
-    """
-    sets, before, turn = postings.count(), None, 1
-    while True:
-        heads = saved(_heads(postings, groups, turn))
-        several = heads.groupBy("gram").agg(
-            F.sum("sets").alias("all"), F.sum(F.col("sets") * F.col("sets")).alias("own"), F.max(F.struct("sets", "root", "head")).alias("top"), F.count("*").alias("roots")
-        )
-        several = saved(several.filter("roots > 1"))
-        pairs = several.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0]
-        if pairs is None:
-            return found
-        if pairs <= sets or (before is not None and pairs > 0.9 * before):
-            break
-        before, turn = pairs, turn + 1
-        met = heads.join(several.select("gram", "top"), "gram").filter(F.col("root") != F.col("top.root"))
-        votes = (
-            met.groupBy(
-                "root", F.col("head.node").alias("a"), F.col("head.n").alias("n_a"), F.col("head.r").alias("r_a"),
-                F.col("top.head.node").alias("b"), F.col("top.head.n").alias("n_b"), F.col("top.head.r").alias("r_b"),
-            )
-            .agg(F.count("*").alias("votes"))
-            .filter(lengths_fit(percent))
-        )
-        star = votes.groupBy("root").agg(F.max(F.struct("votes", "a", "n_a", "r_a", "b", "n_b", "r_b")).alias("pair")).select("pair.*").drop("votes")
-        more = saved(verified(star, segments, percent))
-        ends = more.join(groups.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(
-            groups.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b"
-        )
-        merged = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        found, groups = found.union(more), saved(_regrouped(groups, merged))
-    rest = saved(postings.join(several.select("gram"), "gram", "left_semi").join(groups, "node"))
+    grouped = postings.drop("own").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = grouped.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
+    rest = saved(grouped.join(mixed, "gram"))
     one = rest.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "r", "place", "root")))
     two = rest.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "r", "place", "root")))
-    crossing = (
+    pairs = (
         one.join(two, "gram")
         .filter("root_a < root_b")
         .filter(lengths_fit(percent) & places_fit(percent))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "r_a", "r_b")
         .distinct()
     )
-    return found.union(verified(crossing, segments, percent))
+    return found.union(verified(pairs, segments, percent, fragments))
 
 
 def _placed(docs: DataFrame, size: int, percent: int, fragments: int) -> DataFrame:
@@ -202,7 +152,7 @@ def _placed(docs: DataFrame, size: int, percent: int, fragments: int) -> DataFra
     return placed.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 8) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles (set size), component_id (the
     smallest doc_id it reaches by links, itself included).
 
@@ -214,7 +164,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, fragment
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 8) -> DataFrame:
+def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 4) -> DataFrame:
     """`docs` with one row of each component: the one of the smallest doc_id, a
     null one last, then of the smallest mark of the text; documents without
     words all stay.  A row is known by doc_id and text, so another text under a

@@ -47,22 +47,12 @@ def test_a_hub_that_links_only_part(spark):
     assert got == {k: find(k) for k in range(len(docs))}
 
 
-def test_turns_join_without_expanding(spark):
-    """The pairs that are verified stay near the number of sets."""
-    docs = near_copies(600, 3)
-    seen = []
-    plain = ngram_join.verified
-
-    def counted(pairs, segments, percent):
-        seen.append(pairs.count())
-        return plain(pairs, segments, percent)
-
-    ngram_join.verified = counted
-    try:
-        ngram_join.ngram_components(documents(spark, docs)).collect()
-    finally:
-        ngram_join.verified = plain
-    assert sum(seen) < 20 * len(docs)
+@pytest.mark.parametrize("fragments", [1, 3, 8])
+def test_overlaps_do_not_depend_on_the_cuts(spark, fragments):
+    docs = near_copies(120, 3, edits=(1, 2, 4, 6))
+    want = brute.components(docs)
+    got = ngram_join.ngram_components(documents(spark, docs), fragments=fragments).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: w for (k, _), w in zip(docs, want)}
 
 
 def test_first_of_each_group_goes_by_rows(spark):
@@ -115,3 +105,19 @@ def test_nested_tags_take_linear_time():
         start = time.process_time()
         web_pages.main_text(page)
         assert time.process_time() - start < 2.0
+
+
+def test_raking_ends_near_its_targets(spark):
+    """After the eight rounds each margin is within a thousandth of its target."""
+    rng = random.Random(8)
+    sources = [("s0", 900), ("s1", 60), ("s2", 30), ("stray", 1)]
+    rows = [
+        (k, rng.choices([n for n, _ in sources], [w for _, w in sources])[0], rng.choice(["en", "en", "fr", None]), rng.choice(["note", "book"]), rng.randrange(1, 500))
+        for k in range(2000)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, n_tokens bigint")
+    table = mixing.cells(docs)
+    targets = {margin: mixing.tempered(table, margin, 0.7) for margin in mixing.MARGINS}
+    errors = mixing.margin_errors(table, mixing.rake(table, targets), targets)
+    assert set(errors) == set(mixing.MARGINS) and max(errors.values()) < 1e-3
+    assert max(mixing.margin_errors(table, {m: t.select("key", F.lit(1.0).alias("factor")) for m, t in targets.items()}, targets).values()) > 0.01
