@@ -3,18 +3,15 @@
 Tokens (runs of word characters, runs of punctuation) and token pairs are hashed
 to a fixed number of slots.  Two multinomial models are counted: the target's
 (labelled good texts) and the raw corpus's (every document); the target's is
-shrunk to the raw one, so a slot without evidence weighs nothing.  A document's log weight is the sum of log target / raw over
-its slots, divided by the square root of their number, so that long texts do
-not drown the noise and short ones are not drowned by it, and multiplied by
-`SHARPNESS`.  Gumbel noise is added, and the k largest are kept: a sample of k
+shrunk to the raw one, so a slot without evidence weighs nothing.  A document's
+log weight is the sum of log target / raw over its slots, the ratio of the two
+models.  Gumbel noise is added, and the k largest are kept: a sample of k
 documents without repetition, drawn by weight.
 
-k is the number of documents whose weight passes a cut.  The cut is the one
-that tells good and bad labels apart best, on labelled rows that the target's
-model has not seen (every other one).  Where those lack one of the two kinds,
-all labelled rows set it; where no good row is among these either, it is 0.
+k is a share of the documents with words: the one that is asked for, or else the
+share of good ones among the labelled documents that are there.
 
-The target and the cut come from at most `max_labels` labelled rows, a stated
+The target and the share come from at most `max_labels` labelled rows, a stated
 bound (those with the least hash of doc_id); all counts of the raw model, all
 weights and the choice of the k largest cover every document.  Only two arrays
 of a fixed number of slots and histogram counts reach the driver.
@@ -22,9 +19,10 @@ of a fixed number of slots and histogram counts reach the driver.
 Noise depends on doc_id and seed alone, so a retried task draws the same.
 
 Defined cases: a text without words (null, empty) has weight null and is
-rejected; without any good label every document with words is kept; a null
-label counts as none; equal keys at the border are all kept; repeated rows are
-judged alike.  An empty table gives no rows.  Extra columns stay in `resample`.
+rejected; without any good labelled document in the corpus every document with
+words is kept; a null label counts as none; equal keys at the border are all
+kept; repeated rows are judged alike.  An empty table gives no rows.  Extra
+columns stay in `resample`.
 """
 
 from __future__ import annotations
@@ -45,52 +43,55 @@ from linescope.llm.words import blocks, mixed
 
 SLOTS = 1 << 15
 MAX_LABELS = 20_000
-SHARPNESS = 4.0
 
 
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\x00-\x200-9A-Za-z_\x80-\xff]+")
 
 
 def slots_of(text: str | None) -> np.ndarray:
-    """Slots of the tokens and token pairs of a text; all pairs of equal tokens
-    share a slot."""
+    """Slots of the tokens and token pairs of a text."""
     parts = []
     for piece in blocks((text or "").encode("utf-8", "surrogatepass")):
         found = _TOKEN.findall(piece)
         parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
     hashes = np.concatenate(parts)
     pairs = mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
-    pairs[hashes[:-1] == hashes[1:]] = 0
     return (np.concatenate([hashes, pairs]) >> np.uint64(64 - 15)).astype(np.int32)
 
 
 def log_weight(slots: np.ndarray, ratio: np.ndarray) -> float | None:
-    return float(SHARPNESS * ratio[slots].sum() / np.sqrt(len(slots))) if len(slots) else None
+    return float(ratio[slots].sum(dtype=np.float64)) if len(slots) else None
 
 
-def _count(batches: Iterator[pa.RecordBatch], good) -> Iterator[pa.RecordBatch]:
-    """Slot counts of this task's documents, raw and target."""
+#: Stands for the number of labelled documents, beside the slots.
+_LABELLED = -1
+
+
+def _count(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """Slot counts of this task's documents, raw and target, and how many of them
+    are labelled and how many of these are good."""
     raw, target = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    labelled = good = 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = np.bincount(slots_of(text), minlength=SLOTS)
+            slots = slots_of(text)
+            counts = np.bincount(slots, minlength=SLOTS)
             raw += counts
-            if doc_id in good.value:
+            quality = known.value.get(doc_id) if len(slots) else None
+            if quality is not None:
+                labelled += 1
+                good += quality > 0
+            if quality is not None and quality > 0:
                 target += counts
     used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(raw[used]), pa.array(target[used])], ["slot", "raw", "target"])
-
-
-def _weigh(batches: Iterator[pa.RecordBatch], ratio) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        weights = [log_weight(slots_of(text), ratio.value) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64())], ["doc_id", "log_weight"])
+    columns = [np.append(used, _LABELLED), np.append(raw[used], labelled), np.append(target[used], good)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["slot", "raw", "target"])
 
 
 @dataclasses.dataclass(frozen=True)
 class Model:
     ratio: np.ndarray  # log target / raw by slot
-    cut: float  # weights from here on look like the target
+    share: float  # of good documents among the labelled ones
 
 
 def labelled(labels: DataFrame, max_labels: int) -> dict[int, int]:
@@ -100,63 +101,43 @@ def labelled(labels: DataFrame, max_labels: int) -> dict[int, int]:
     return {row.doc_id: row.quality for row in rows}
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The cut with the least sum of error rates on both sides."""
-    if not len(weights) or good.all():
-        return -np.inf
-    if not good.any():
-        return np.inf
-    order = np.argsort(weights, kind="stable")
-    weights, good = weights[order], good[order]
-    lost = np.append(0, np.cumsum(good)) / good.sum()
-    passed = 1 - np.append(0, np.cumsum(~good)) / (~good).sum()
-    fair = np.append(np.append(True, weights[1:] > weights[:-1]), False)
-    error = np.where(fair, lost + passed, np.inf)
-    k = int(np.argmin(error))
-    return float((weights[k] + weights[k - 1]) / 2) if k else -np.inf
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, shrink: float = 10.0) -> Model | None:
-    """Both models and the cut; None without a good label.  `shrink` is
-    added to the target's count of a slot and to the count that the raw model
-    expects there."""
+    """Both models; None without a good labelled document.  `shrink` is added to
+    the target's count of a slot and to the count that the raw model expects
+    there."""
     spark = docs.sparkSession
     python_tasks(spark)
-    known = labelled(labels, max_labels)
-    halves = [set(list(known)[k::2]) for k in (0, 1)]
-    taught = next((half for half in halves if any(known[doc_id] > 0 for doc_id in half)), set())  # the others set the cut
-    good = {doc_id for doc_id in taught if known[doc_id] > 0}
-    if not good:
-        return None
-    texts = docs.select("doc_id", "text")
-    ids = spark.sparkContext.broadcast(good)
-    counts = texts.mapInArrow(lambda b: _count(b, ids), "slot bigint, raw bigint, target bigint")
-    counts = counts.groupBy("slot").agg(F.sum("raw"), F.sum("target")).collect()  # SLOTS rows at most
-    raw, target = np.zeros(SLOTS), np.zeros(SLOTS)
+    known = spark.sparkContext.broadcast(labelled(labels, max_labels))
+    counts = docs.select("doc_id", "text").mapInArrow(lambda b: _count(b, known), "slot bigint, raw bigint, target bigint")
+    counts = counts.groupBy("slot").agg(F.sum("raw"), F.sum("target")).collect()  # SLOTS rows at most, and one
+    raw, target, share = np.zeros(SLOTS), np.zeros(SLOTS), 0.0
     for slot, all_of, good_of in counts:
-        raw[slot] += all_of
-        target[slot] += good_of
-    expected = raw * (target.sum() / max(1.0, raw.sum()))
-    ratio = np.log((target + shrink) / (expected + shrink)).astype(np.float32)
-    values, right = _judged(texts, known, [doc_id for doc_id in known if doc_id not in taught], ratio)
-    if right.all() or not right.any():
-        values, right = _judged(texts, known, list(known), ratio)
-    return Model(ratio, best_cut(values, right) if right.any() else 0.0)
-
-
-def _judged(texts: DataFrame, known: dict[int, int], ids: list[int], ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the labelled documents `ids`, and whether each is good."""
-    marked = texts.sparkSession.createDataFrame([(doc_id,) for doc_id in ids], "doc_id bigint")
-    sample = texts.join(F.broadcast(marked), "doc_id", "left_semi")  # bounded by max_labels
-    rows = [row for row in weights(sample, Model(ratio, 0.0)).collect() if row.log_weight is not None]
-    return np.array([row.log_weight for row in rows]), np.array([known[row.doc_id] > 0 for row in rows], bool)
-
-
-def weights(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and log_weight of every document."""
+        if slot == _LABELLED:
+            share = good_of / all_of if all_of else 0.0
+        else:
+            raw[slot], target[slot] = all_of, good_of
+    if not share:
+        return None
+    expected = raw * (target.sum() / raw.sum())
+    return Model(np.log((target + shrink) / (expected + shrink)), share)
+
+
+#: Weighs every document alike.
+EVEN = Model(np.zeros(SLOTS), 1.0)
+
+
+def weighed(docs: DataFrame, model: Model, name: str = "log_weight") -> DataFrame:
+    """`docs` with the log weight of every document as `name`."""
     python_tasks(docs.sparkSession)
     ratio = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _weigh(b, ratio), "doc_id bigint, log_weight double")
+    at = docs.columns.index("text")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([log_weight(slots_of(text), ratio.value) for text in batch.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+
+    return docs.mapInArrow(weigh, StructType(list(docs.schema.fields)).add(name, "double"))
 
 
 def noise(seed: int):
@@ -184,52 +165,27 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return low
 
 
-@dataclasses.dataclass(frozen=True)
-class Choice:
-    model: Model | None
-    border: float  # least key that is kept
-    seed: int
-
-
-def keyed(weighed: DataFrame, seed: int) -> DataFrame:
-    return weighed.withColumn("key", F.col("log_weight") + noise(seed))
-
-
-def choose(docs: DataFrame, labels: DataFrame, seed: int = 0, max_labels: int = MAX_LABELS) -> tuple[Choice, DataFrame]:
-    """Fit, weigh everything once, and find the border of the k largest keys.
-    Returns the choice and the saved weights."""
-    model = fit(docs, labels, max_labels)
-    if model is None:
-        flat = Model(np.zeros(SLOTS, np.float32), -np.inf)
-        return Choice(None, -np.inf, seed), saved(keyed(weights(docs, flat), seed))
-    rows = saved(keyed(weights(docs, model), seed))
-    weighed = rows.filter("log_weight is not null")
-    k = weighed.filter(F.col("log_weight") >= F.lit(model.cut)).count()
-    border = kth_largest(weighed, k) if k else np.inf
-    return Choice(model, border, seed), rows
+def border(weights: DataFrame, share: float, seed: int, name: str = "log_weight") -> float:
+    """The least key, weight and noise, of the share of documents to keep."""
+    keys = weights.filter(F.col(name).isNotNull()).select((F.col(name) + noise(seed)).alias("key"))
+    k = round(share * keys.count())
+    return kth_largest(keys, k) if k else np.inf
 
 
-def classify(docs: DataFrame, labels: DataFrame, seed: int = 0, max_labels: int = MAX_LABELS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, seed: int = 0, max_labels: int = MAX_LABELS, share: float | None = None) -> DataFrame:
     """doc_id, log_weight and kept for every document."""
-    choice, rows = choose(docs, labels, seed, max_labels)
-    kept = F.coalesce(F.col("key") >= F.lit(choice.border), F.lit(False))
+    model = fit(docs, labels, max_labels) or EVEN
+    rows = saved(weighed(docs.select("doc_id", "text"), model).drop("text"))
+    least = border(rows, model.share if share is None else share, seed)
+    kept = F.coalesce(F.col("log_weight") + noise(seed) >= F.lit(least), F.lit(False))
     return rows.select("doc_id", "log_weight", kept.alias("kept"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, max_labels: int = MAX_LABELS) -> DataFrame:
-    """The kept documents with all their columns.  Weights are worked out again
-    beside the text, so no text is shuffled."""
-    choice, _ = choose(docs, labels, seed, max_labels)
-    model = choice.model or Model(np.zeros(SLOTS, np.float32), -np.inf)
-    ratio = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    weight = free_name(docs, "log_weight")
-    at = docs.columns.index("text")
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([log_weight(slots_of(text), ratio.value) for text in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, weight])
-
-    schema = StructType(list(docs.schema.fields)).add(weight, "double")
-    rows = docs.mapInArrow(weigh, schema)
-    return rows.filter(F.col(weight) + noise(seed) >= F.lit(choice.border)).select(*docs.columns)
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, max_labels: int = MAX_LABELS, share: float | None = None) -> DataFrame:
+    """The kept documents with all their columns.  Documents are saved beside
+    their weights, so texts are read twice, and none is shuffled."""
+    model = fit(docs, labels, max_labels) or EVEN
+    name = free_name(docs, "log_weight")
+    rows = saved(weighed(docs, model, name))
+    least = border(rows, model.share if share is None else share, seed, name)
+    return rows.filter(F.col(name) + noise(seed) >= F.lit(least)).select(*docs.columns)
