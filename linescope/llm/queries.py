@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from linescope.llm import bpe, chat, hamming, importance, licenses, line_dedup, merkle, mixing, ngram_join, quality_rules, toxicity, web_pages, whitening
 from linescope.llm.storage import table
 
+#: Share of the corpus's tokens that the mix keeps.
+MIX_SHARE = 0.5
+
 _ODD_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -25,7 +28,7 @@ def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_topic(table(spark, sf_dir, "documents"))
-    rows = mixing.mix(docs.select("doc_id", "source", "lang", "topic", "n_tokens"))
+    rows = mixing.mix(docs.select("doc_id", "source", "lang", "topic", "n_tokens"), share=MIX_SHARE)
     return rows.withColumn("probability", F.round("probability", 9))
 
 
@@ -47,12 +50,21 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_pages.extract(table(spark, sf_dir, "pages"))
 
 
-#: The tables name no files: paths are made from source, language and doc_id,
-#: and one file in ten is its directory's licence file.
+#: The tables name no files: paths are made from source, language and doc_id.
+#: Texts that name a licence are licence files, most of a directory that holds
+#: others; every 29th text begins with a header.
 _PATHS = """
-select doc_id, concat(source, '/', lang, '/d', cast(doc_id % 97 as varchar(20)), '/',
-         case when doc_id % 10 = 3 then concat('p', cast(doc_id % 89 as varchar(20)), '/LICENSE')
-              when doc_id % 500 = 7 then 'LICENSE' else concat('f', cast(doc_id as varchar(20)), '.txt') end) as path, text
+select doc_id,
+  concat(source, '/', lang, '/', case when text like '%icense%' and doc_id % 3 > 0 then 'LICENSE'
+         when text like '%icense%' then concat('d', cast(doc_id % 97 as varchar(20)), '/COPYING.txt')
+         else concat('d', cast(doc_id % 97 as varchar(20)), '/f', cast(doc_id as varchar(20)), '.txt') end) as path,
+  case when doc_id % 29 = 3 then concat('// This Source Code Form is subject to the terms of the Mozilla Public', chr(10),
+         '// License, v. 2.0. If a copy of the MPL was not distributed with this', chr(10),
+         '// file, You can obtain one at http://mozilla.org/MPL/2.0/.', chr(10), text)
+       when doc_id % 29 = 4 then concat('/*', chr(10), ' * Permission to use, copy, modify, and/or distribute this software for any', chr(10),
+         ' * purpose with or without fee is hereby granted, provided that the above', chr(10),
+         ' * copyright notice and this permission notice appear in all copies.', chr(10), ' */', chr(10), text)
+       else text end as text
 from documents
 """
 
@@ -105,7 +117,7 @@ QUERIES = {
     )
 }
 
-_MIX, _MIXED = mixing.mix_sql()
+_MIX, _MIXED = mixing.mix_sql(share=MIX_SHARE)
 
 ORACLES: dict[str, str] = {
     "op2_hamming_top_k": """
