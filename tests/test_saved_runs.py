@@ -55,11 +55,10 @@ def same(spark, path):
     return runs
 
 
-@pytest.mark.parametrize("indent", [None, 2])
-@pytest.mark.parametrize("bytes_", [97, 1000, 100_000_000])
+@pytest.mark.parametrize("bytes_, indent", [(211, None), (1000, 2), (100_000_000, None)])
 def test_documents_in_ranges(spark, tmp_path, indent, bytes_):
     """Ranges of any size give the rows that the whole document gives."""
-    for seed, files in enumerate((0, 1, 30)):
+    for seed, files in enumerate((0, 1, 12)):
         (tmp_path / f"{seed}.json").write_text(json.dumps(run_document(seed, files), indent=indent, ensure_ascii=seed == 1))
     before = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
