@@ -83,12 +83,13 @@ def verified(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int
     """Pairs (a, b) whose partial overlaps, summed over the fragments, reach
     `percent` of the union.  r is how many n-grams of a set others share.
 
-    The fragments are counted one after another, the rarest n-grams first.  After
-    each, pairs end that could not reach the overlap even if they shared all that
-    is left of the smaller set.
+    The fragments are counted one after another, the rarest n-grams first.
+    Before and after each, pairs end that could not reach the overlap even if they
+    shared all that is left of the smaller set.
     """
     size = lambda grams: F.coalesce(F.array_size(grams), F.lit(0))
-    rows = pairs.select("a", "b", "n_a", "n_b", F.col("r_a").alias("left_a"), F.col("r_b").alias("left_b"), F.lit(0).alias("overlap"))
+    enough = F.expr(f"(100 + {percent}) * (overlap + least(left_a, left_b)) >= {percent} * (n_a + n_b)")
+    rows = pairs.select("a", "b", "n_a", "n_b", F.col("r_a").alias("left_a"), F.col("r_b").alias("left_b"), F.lit(0).alias("overlap")).filter(enough)
     for fragment in range(fragments):
         part = segments.filter(F.col("fragment") == fragment)
         of_a = part.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
@@ -99,9 +100,7 @@ def verified(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int
             (F.col("left_a") - size(F.col("grams_a"))).alias("left_a"),
             (F.col("left_b") - size(F.col("grams_b"))).alias("left_b"),
             (F.col("overlap") + size(F.array_intersect("grams_a", "grams_b"))).alias("overlap"),
-        )
-        most = F.col("overlap") + F.least("left_a", "left_b")
-        rows = rows.filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+        ).filter(enough)
     return rows.filter(similar("overlap", percent)).select("a", "b")
 
 
@@ -152,7 +151,7 @@ def _placed(docs: DataFrame, size: int, percent: int, fragments: int) -> DataFra
     return placed.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 4) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 3) -> DataFrame:
     """One row per document: doc_id, n_shingles (set size), component_id (the
     smallest doc_id it reaches by links, itself included).
 
@@ -164,7 +163,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, fragment
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 4) -> DataFrame:
+def first_of_each_group(docs: DataFrame, size: int = 5, percent: int = 75, fragments: int = 3) -> DataFrame:
     """`docs` with one row of each component: the one of the smallest doc_id, a
     null one last, then of the smallest mark of the text; documents without
     words all stay.  A row is known by doc_id and text, so another text under a
