@@ -6,11 +6,13 @@ of contraction apostrophe, three kinds of white space), each symbol a function
 from states to states.  Composing functions is associative, so a two-level scan
 of array look-ups gives the state before every code point, and a table says
 where a token slice begins.  The slices are dictionary-encoded; each distinct
-slice is merged once and kept in a bounded cache.  Byte offsets of the tokens
-stay with the ids, so any range of tokens can be decoded.
+slice is merged once and kept in a bounded cache, which forgets the slices not
+asked for longest.  Byte offsets of the tokens stay with the ids, so any range
+of tokens can be decoded.
 
 A row stays in its task: no shuffle.  Texts are worked on in blocks of about
-2 MB; a longer text is cut in front of white space, where a slice always ends.
+half a MB; a longer text is cut in front of white space, where a slice always
+ends.
 
 Nulls: a null text counts as empty; an empty text has no ids.  An empty table
 gives no rows.  Extra columns are ignored; repeated rows stay.
@@ -32,8 +34,8 @@ from pyspark.sql import DataFrame
 
 from linescope.llm.storage import python_tasks
 
-BLOCK = 2 << 20
-CACHED = 500_000
+BLOCK = 1 << 19
+CACHED = 100_000  # slices in each of the two generations of a cache
 
 # White space as the pattern's \s has it.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -159,15 +161,18 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.decimals = pa.array([b"%d " % k for k in range(size)], pa.large_binary())
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def ids_of(self, piece: bytes) -> tuple[int, ...]:
         found = self.cache.get(piece)
         if found is None:
-            rank = self.ranks.get(piece)
-            found = (rank,) if rank is not None else self.merged(piece)
+            found = self.older.get(piece)
+            if found is None:
+                rank = self.ranks.get(piece)
+                found = (rank,) if rank is not None else self.merged(piece)
             if len(piece) <= 256:
                 if len(self.cache) >= CACHED:
-                    self.cache.clear()
+                    self.older, self.cache = self.cache, {}
                 self.cache[piece] = found
         return found
 
@@ -353,11 +358,13 @@ def _digests(batches: Iterator[pa.RecordBatch], source, with_ids: bool) -> Itera
             names.append("ids")
         columns += [pa.array([s[k].hexdigest() for s in sums]) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays(columns, [*names, "ids_sha256", "decoded_sha256"])
+        del columns, kept
+        pa.default_memory_pool().release_unused()
 
 
 def _mapped(rows: DataFrame, function, path: str, schema: str, *more) -> DataFrame:
     spark = rows.sparkSession
-    python_tasks(spark)
+    python_tasks(spark, "2m")
     with open(path, "rb") as file:  # a vocabulary of fixed size, on the driver
         source = spark.sparkContext.broadcast(file.read())
     return rows.mapInArrow(lambda batches: function(batches, source, *more), schema)
