@@ -12,8 +12,9 @@ partial counts are summed.
    set most of these point to.  That joins large groups of near copies without
    expanding their pairs.
 3. What is left are pairs that share such an n-gram across two groups; length
-   and position filters thin them, and all of them are verified.  A pair inside
-   one group needs no look: it cannot change a component.
+   and position filters and a bound from parity sketches thin them while they
+   are joined, and all that pass are verified.  A pair inside one group needs no
+   look: it cannot change a component.
 
 Skew: copies meet as one node; hubs and common n-grams are hot keys of plain
 joins, which Spark splits, and of partial aggregates.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linescope.llm.components import components
@@ -39,6 +40,8 @@ from linescope.llm.set_join import NONE, Items, candidate_sets, lengths_fit, pla
 from linescope.llm.storage import free_name, saved
 from linescope.llm.words import windows, word_hashes
 
+WORDS = 16  # of 64 bits, in a sketch; a power of two
+
 
 def gram_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct n-gram hashes of a lower-cased text."""
@@ -104,6 +107,22 @@ def verified(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int
     return rows.filter(similar("overlap", percent)).select("a", "b")
 
 
+def sketches(nodes: DataFrame) -> DataFrame:
+    """(node, bits_0, bits_1, ...): the parity, at each of 64 * WORDS places, of
+    how many of a set's shared n-grams hash there."""
+    hashed = nodes.select("node", F.explode("grams").alias("gram")).select("node", F.xxhash64("gram").alias("hash"))
+    hashed = hashed.select("node", F.expr(f"(hash >> 6) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0)).alias(f"bits_{k}") for k in range(WORDS)]
+    return hashed.groupBy("node").agg(*words)
+
+
+def sketches_fit(percent: int) -> Column:
+    """The overlap can reach `percent` of the union.  Every place where two
+    sketches differ stands for an n-gram that one set has and the other lacks."""
+    differ = " + ".join(f"bit_count(bits_{k}_a ^ bits_{k}_b)" for k in range(WORDS))
+    return F.expr(f"(100 + {percent}) * (r_a + r_b - ({differ})) >= 2 * {percent} * (n_a + n_b)")
+
+
 def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Links (a, b) between different sets; enough to give every component."""
     segments = saved(fragments_of(nodes, fragments))
@@ -130,12 +149,16 @@ def links(nodes: DataFrame, percent: int, fragments: int) -> DataFrame:
     grouped = postings.drop("own").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = grouped.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
     rest = saved(grouped.join(mixed, "gram"))
-    one = rest.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "r", "place", "root")))
-    two = rest.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "r", "place", "root")))
+    drawn = sketches(nodes.join(rest.select("node").distinct(), "node", "left_semi"))
+    rest = saved(rest.join(drawn, "node"))
+    held = [column for column in rest.columns if column != "gram"]
+    one = rest.select("gram", *(F.col(c).alias(f"{c}_a") for c in held))
+    two = rest.select("gram", *(F.col(c).alias(f"{c}_b") for c in held))
     pairs = (
         one.join(two, "gram")
         .filter("root_a < root_b")
         .filter(lengths_fit(percent) & places_fit(percent))
+        .filter(sketches_fit(percent))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "r_a", "r_b")
         .distinct()
     )
