@@ -182,10 +182,11 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = 0, max_labels: int
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, max_labels: int = MAX_LABELS, share: float | None = None) -> DataFrame:
-    """The kept documents with all their columns.  Documents are saved beside
-    their weights, so texts are read twice, and none is shuffled."""
+    """The kept documents with all their columns.  Only doc_ids and weights are
+    saved.  Texts are read three times, for the models, the border and the
+    choice; none is kept on disk or shuffled, and every reading weighs alike."""
     model = fit(docs, labels, max_labels) or EVEN
+    weights = saved(weighed(docs.select("doc_id", "text"), model).drop("text"))
+    least = border(weights, model.share if share is None else share, seed)
     name = free_name(docs, "log_weight")
-    rows = saved(weighed(docs, model, name))
-    least = border(rows, model.share if share is None else share, seed, name)
-    return rows.filter(F.col(name) + noise(seed) >= F.lit(least)).select(*docs.columns)
+    return weighed(docs, model, name).filter(F.col(name) + noise(seed) >= F.lit(least)).select(*docs.columns)

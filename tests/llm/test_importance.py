@@ -1,6 +1,7 @@
 """The resampling as a whole: against plain models and a plain draw."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from test_row_operators import documents
 
 from linescope.llm import importance
+from linescope.llm.storage import shared_folder
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -77,3 +79,18 @@ def test_labels_of_documents_that_are_not_there(spark):
     plain = importance.classify(frame, spark.createDataFrame(labels, LABELS)).collect()
     more = importance.classify(frame, spark.createDataFrame(labels + absent, LABELS)).collect()
     assert sorted((r.doc_id, r.kept) for r in plain) == sorted((r.doc_id, r.kept) for r in more)
+
+
+def test_resample_saves_no_texts(spark):
+    """What it leaves in the shared folder stays there until the application ends,
+    beside all that later stages need."""
+    rng = random.Random(9)
+    docs = [(k, " ".join(f"{rng.getrandbits(64):x}" for _ in range(60))) for k in range(300)]
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    files = lambda: {f: f.stat().st_size for f in folder.rglob("*.parquet") if f.is_file()}
+    before = files()
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(300)], LABELS)
+    kept = importance.resample(documents(spark, docs), labels).collect()
+    left = sum(size for f, size in files().items() if f not in before)
+    assert len(kept) == 150 and all(r.text == docs[r.doc_id][1] for r in kept)
+    assert 0 < left < 0.2 * sum(len(text) for _, text in docs)
